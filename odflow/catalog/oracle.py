@@ -532,7 +532,9 @@ SQL: dict[str, str] = {
         "SELECT 'grid' study_area, v.k realisation, p \"partition\", sum(f) total, any_value(n // 2) \"groups\" "
         "FROM lines, size, (VALUES (0), (1), (2)) v(k) GROUP BY v.k, p"
     ),
-    "condition_s_coarse": f"WITH {COARSE} " + condition_s_sql(f"{NATIONS}, {OVERLAP_COLUMNS}"),
+    "condition_s_coarse": f"WITH {COARSE} " + condition_s_sql(
+        f"{NATIONS}, " + OVERLAP_COLUMNS.replace("round(cpcd, 6)", "CAST(NULL AS DOUBLE)")
+    ),
     "scale_spearman": nation(
         "SELECT 'nations' study_area, round(covar_pop(rx, ry) / (stddev_pop(rx) * stddev_pop(ry)), 6) \"spearman_CPC\", "
         "round(avg(CASE WHEN same THEN 1.0 ELSE 0.0 END), 6) frac_delta_sign_kept FROM ranked",
@@ -540,7 +542,7 @@ SQL: dict[str, str] = {
     ),
     "report_table1": nation(
         "SELECT 'nations' study_area, 'orders' product, n \"N\", round(h, 6) h_intra, days, 'priority' attributes_present FROM "
-        "(SELECT count(*) n FROM z), (SELECT sum(CASE WHEN o = d THEN f ELSE 0 END) / sum(f) h, count(DISTINCT dt) days FROM lines)"
+        "(SELECT count(*) n FROM z), (SELECT sum(CASE WHEN o = d THEN f ELSE 0 END) / sum(f) h, count(DISTINCT dt) AS days FROM lines)"
     ),
     "report_table2": nation(
         condition_s_sql(
