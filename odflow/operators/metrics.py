@@ -7,6 +7,8 @@ matter for NRMSE and JSD, which take the zone count of the area.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,9 +78,13 @@ def length_bin(distance: Column, edges: Sequence[float] = LENGTH_EDGES) -> Colum
     return bins
 
 
-def _length_masses(side: Column, edges: Sequence[float]) -> list[Column]:
-    held = length_bin(F.col("distance"), edges)
-    return [F.sum(F.when((held == k) & (side > 0), side).otherwise(0.0)) for k in range(len(edges) + 1)]
+def with_length_bin(cells: DataFrame, edges: Sequence[float] = LENGTH_EDGES) -> DataFrame:
+    return cells.withColumn("length_bin", length_bin(F.col("distance"), edges))
+
+
+def _length_masses(side: str, bins: int) -> list[Column]:
+    value, held = F.col(side), F.col("length_bin")
+    return [F.sum(F.when((held == k) & (value > 0), value).otherwise(0.0)) for k in range(bins)]
 
 
 def length_histogram(
@@ -86,7 +92,7 @@ def length_histogram(
 ) -> DataFrame:
     """Positive flow of both sides per trip-length bin (empty bins absent)."""
     return (
-        cells.withColumn("length_bin", length_bin(F.col("distance"), edges))
+        with_length_bin(cells, edges)
         .groupBy(*keys, "length_bin")
         .agg(
             _positive("a").alias("mass_a"),
@@ -95,17 +101,15 @@ def length_histogram(
     )
 
 
-def length_overlap(edges: Sequence[float] = LENGTH_EDGES) -> Column:
-    """Dice overlap of the two trip-length histograms, as one aggregate expression."""
-    pairs = list(zip(_length_masses(F.col("a"), edges), _length_masses(F.col("b"), edges), strict=True))
-    common, left, right = F.lit(0.0), F.lit(0.0), F.lit(0.0)
-    for mass_a, mass_b in pairs:
-        common, left, right = common + F.least(mass_a, mass_b), left + mass_a, right + mass_b
-    return dice(common, left, right)
+def length_overlap(bins: int = len(LENGTH_EDGES) + 1) -> Column:
+    """Dice overlap of the two trip-length histograms, as one aggregate over binned cells."""
+    left, right = _length_masses("a", bins), _length_masses("b", bins)
+    common = [F.least(x, y) for x, y in zip(left, right, strict=True)]
+    return dice(reduce(add, common), _positive("a"), _positive("b"))
 
 
 def cpcd(cells: DataFrame, keys: Sequence[str], edges: Sequence[float] = LENGTH_EDGES) -> DataFrame:
-    return cells.groupBy(*keys).agg(length_overlap(edges).alias("CPCd"))
+    return with_length_bin(cells, edges).groupBy(*keys).agg(length_overlap(len(edges) + 1).alias("CPCd"))
 
 
 def _nrmse(squares: Column, total: Column, pairs: Column) -> Column:
@@ -135,64 +139,82 @@ def size_bin(value: Column, largest: Column, bins: int = SIZE_BINS) -> Column:
     return F.when(value >= 0, F.least(chosen, F.lit(bins - 1)).cast("int"))
 
 
-def _size_counts(side: str, bins: int) -> list[Column]:
-    return [F.count_if(F.col(f"_bin_{side}") == k).cast("double") for k in range(bins)]
-
+def _size_counts(side: str, bins: int) -> Column:
+    counts = ", ".join(f"cast(count_if(_bin_{side} = {k}) AS double)" for k in range(bins))
+    return F.expr(f"array({counts})")
 
-def _divergence(counts_a: Column, counts_b: Column, unseen: Column) -> Column:
-    """Jensen-Shannon divergence of two count arrays; ``unseen`` zero cells join bin 0 of both."""
 
-    def shares(counts: Column) -> Column:
-        full = F.transform(counts, lambda c, i: c + F.when(i == 0, unseen).otherwise(0.0))
-        return F.transform(full, lambda c: F.try_divide(c, F.aggregate(full, F.lit(0.0), lambda s, v: s + v)))
+def _with_divergence(parts: DataFrame) -> DataFrame:
+    """Add JSD from the bin counts ``_sizes_a``, ``_sizes_b``.
 
-    def one_way(p: Column, m: Column) -> Column:
-        terms = F.zip_with(
-            p, m, lambda x, y: F.when(x > 0, x * F.log(x / F.greatest(y, F.lit(TINY)))).otherwise(0.0)
-        )
-        return F.aggregate(terms, F.lit(0.0), lambda s, v: s + v)
+    The zone pairs stored nowhere (``_pairs`` − ``_stored``) are zero cells: they join bin 0 of both.
+    """
 
-    p, q = shares(counts_a), shares(counts_b)
-    middle = F.zip_with(p, q, lambda x, y: (x + y) / 2)
-    return (one_way(p, middle) + one_way(q, middle)) / 2
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
+
+    def toward(share: Column, other: Column) -> Column:
+        middle = F.greatest((share + other) / 2, F.lit(TINY))
+        return F.when(share > 0, share * F.log(share / middle)).otherwise(0.0)
+
+    unseen = F.col("_pairs") - F.col("_stored")
+    for side in ("_sizes_a", "_sizes_b"):
+        parts = parts.withColumn(side, F.transform(side, lambda c, i: c + F.when(i == 0, unseen).otherwise(0.0)))
+    totals = parts.withColumns({"_in_a": total(F.col("_sizes_a")), "_in_b": total(F.col("_sizes_b"))})
+    shares = totals.withColumns(
+        {
+            "_sizes_a": F.transform("_sizes_a", lambda c: F.try_divide(c, F.col("_in_a"))),
+            "_sizes_b": F.transform("_sizes_b", lambda c: F.try_divide(c, F.col("_in_b"))),
+        }
+    )
+    terms = F.zip_with("_sizes_a", "_sizes_b", lambda p, q: (toward(p, q) + toward(q, p)) / 2)
+    return shares.withColumn("JSD", F.when(F.col("_largest") > 0, total(terms)).otherwise(0.0))
 
 
 def _largest(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     return cells.groupBy(*keys).agg(F.max(F.greatest("a", "b")).alias("_largest"))
 
 
-def _binned(cells: DataFrame) -> DataFrame:
-    return cells.withColumn("_bin_a", size_bin(F.col("a"), F.col("_largest"))).withColumn(
-        "_bin_b", size_bin(F.col("b"), F.col("_largest"))
+def with_size_bins(cells: DataFrame) -> DataFrame:
+    """Add the cell-size bins of both sides; ``_largest`` is the key's largest cell."""
+    return cells.withColumns(
+        {f"_bin_{side}": size_bin(F.col(side), F.col("_largest")) for side in ("a", "b")}
     )
 
 
 def _jsd_parts(bins: int = SIZE_BINS) -> list[Column]:
     return [
-        F.array(*_size_counts("a", bins)).alias("_sizes_a"),
-        F.array(*_size_counts("b", bins)).alias("_sizes_b"),
+        _size_counts("a", bins).alias("_sizes_a"),
+        _size_counts("b", bins).alias("_sizes_b"),
         F.max("_largest").alias("_largest"),
         F.count("*").alias("_stored"),
     ]
 
 
-def _jsd_score() -> Column:
-    pairs = F.col("n_zones").cast("double") * F.col("n_zones")
-    divergence = _divergence(F.col("_sizes_a"), F.col("_sizes_b"), pairs - F.col("_stored"))
-    return F.when(F.col("_largest") > 0, divergence).otherwise(0.0)
+def _with_pairs(parts: DataFrame, counts: DataFrame, area: Sequence[str]) -> DataFrame:
+    """Add the number of zone pairs of the area."""
+    counted = lookup_join(parts, counts, list(area), spread=["_stored"])
+    return counted.withColumn("_pairs", F.col("n_zones").cast("double") * F.col("n_zones"))
 
 
 def jsd(cells: DataFrame, keys: Sequence[str], counts: DataFrame, area: Sequence[str]) -> DataFrame:
     """Divergence of the two cell-size histograms over all zone pairs."""
     ranged = lookup_join(cells, _largest(cells, keys), list(keys))
-    parts = _binned(ranged).groupBy(*keys).agg(*_jsd_parts())
-    counted = lookup_join(parts, counts, list(area), spread=["_stored"])
-    return counted.select(*keys, _jsd_score().alias("JSD"))
+    parts = with_size_bins(ranged).groupBy(*keys).agg(*_jsd_parts())
+    return _with_divergence(_with_pairs(parts, counts, area)).select(*keys, "JSD")
 
 
-def _score_parts(with_length: bool) -> list[Column]:
-    """All aggregates of one pass over the cells (with ``_bin_a``, ``_bin_b`` set)."""
-    return [
+def score_aggregates(
+    cells: DataFrame,
+    keys: Sequence[str],
+    counts: DataFrame,
+    area: Sequence[str],
+    more: Sequence[Column] = (),
+) -> DataFrame:
+    """All pair scores in one aggregation over cells with ``_largest``, plus ``more`` aggregates."""
+    with_length = "distance" in cells.columns
+    binned = with_size_bins(with_length_bin(cells) if with_length else cells)
+    parts = binned.groupBy(*keys).agg(
         overlap(*_sides()).alias("CPC"),
         support_overlap(*_sides()).alias("CPL"),
         log_correlation(*_sides()).alias("pearson_r"),
@@ -200,22 +222,14 @@ def _score_parts(with_length: bool) -> list[Column]:
         F.sum("a").alias("_total"),
         (length_overlap() if with_length else F.lit(None).cast("double")).alias("CPCd"),
         *_jsd_parts(),
-    ]
-
-
-def _finish(parts: DataFrame, keys: Sequence[str], counts: DataFrame, area: Sequence[str], more=()) -> DataFrame:
-    pairs = F.col("n_zones").cast("double") * F.col("n_zones")
-    counted = lookup_join(parts, counts, list(area), spread=["_stored"])
-    scores = {
-        "CPC": F.col("CPC"),
-        "CPL": F.col("CPL"),
-        "R2": F.col("pearson_r") * F.col("pearson_r"),
-        "pearson_r": F.col("pearson_r"),
-        "NRMSE": _nrmse(F.col("_squares"), F.col("_total"), pairs),
-        "JSD": _jsd_score(),
-        "CPCd": F.col("CPCd"),
-    }
-    return counted.select(*keys, *[scores[n].alias(n) for n in PAIR_SCORES], *more)
+        *more,
+    )
+    return _with_divergence(_with_pairs(parts, counts, area)).withColumns(
+        {
+            "R2": F.col("pearson_r") * F.col("pearson_r"),
+            "NRMSE": _nrmse(F.col("_squares"), F.col("_total"), F.col("_pairs")),
+        }
+    )
 
 
 def score_pair(cells: DataFrame, keys: Sequence[str], counts: DataFrame, area: Sequence[str]) -> DataFrame:
@@ -223,9 +237,8 @@ def score_pair(cells: DataFrame, keys: Sequence[str], counts: DataFrame, area: S
 
     CPCd needs a ``distance`` column and is NULL without it. ``counts`` gives ``n_zones`` per area.
     """
-    ranged = _binned(lookup_join(cells, _largest(cells, keys), list(keys)))
-    parts = ranged.groupBy(*keys).agg(*_score_parts("distance" in cells.columns))
-    return _finish(parts, keys, counts, area)
+    ranged = lookup_join(cells, _largest(cells, keys), list(keys))
+    return score_aggregates(ranged, keys, counts, area).select(*keys, *PAIR_SCORES)
 
 
 def stack_reference(

@@ -65,19 +65,13 @@ def condition_s(
         F.try_divide(F.col("_out") * F.col("_in"), F.col("_t")).alias("_expected"),
     )
     independent = F.when(F.col("t") > 0, F.least(F.col("t"), F.col("_expected"))).otherwise(0.0)
-    parts = (
-        metrics._binned(scaled)
-        .groupBy(*keys)
-        .agg(
-            *metrics._score_parts("distance" in scaled.columns),
-            F.max("lambda").alias("lambda"),
-            F.max("h_intra_T").alias("h_intra_T"),
-            metrics.overlap(F.col("a"), F.col("b_transposed")).alias("CPC_RT"),
-            ratio(F.sum(independent), F.sum("t")).alias("CPC_indep"),
-        )
-    )
-    more = [F.col(c) for c in ("lambda", "h_intra_T", "CPC_RT", "CPC_indep")]
-    scores = metrics._finish(parts, keys, zone_counts(zones, area), area, more)
+    more = [
+        F.max("lambda").alias("lambda"),
+        F.max("h_intra_T").alias("h_intra_T"),
+        metrics.overlap(F.col("a"), F.col("b_transposed")).alias("CPC_RT"),
+        ratio(F.sum(independent), F.sum("t")).alias("CPC_indep"),
+    ]
+    scores = metrics.score_aggregates(scaled, keys, zone_counts(zones, area), area, more)
     named = {
         "CPC_R": F.col("CPC"),
         "Delta": F.col("CPC_RT") - F.col("CPC"),
