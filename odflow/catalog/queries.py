@@ -14,7 +14,7 @@ from odflow.operators import flows, graph, metrics, sampling, zones as zone_ops
 from odflow.operators.generators import emission, gravity, ipf, learned, radiation, softmax_net
 from odflow.plans import condition_g, condition_s, report, scale
 from odflow.schema import conform_flows
-from odflow.session import materialise
+from odflow.session import materialise, write_table
 from odflow.sources import files, product_a, product_b
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,11 +38,11 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def nation_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OD matrix per priority, written once: later steps read cells instead of order lines."""
-    return materialise(flows.od_matrix(views.nation_flows(spark, sf_dir), KEYS))
+    return write_table(flows.od_matrix(views.nation_flows(spark, sf_dir), KEYS))
 
 
 def fine_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialise(flows.od_matrix(views.fine_flows(spark, sf_dir), KEYS))
+    return write_table(flows.od_matrix(views.fine_flows(spark, sf_dir), KEYS))
 
 
 def split(cells: DataFrame, reference: str) -> tuple[DataFrame, DataFrame]:
@@ -67,7 +67,7 @@ class Study:
     """Fine zones with everything the generators take."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.zones = materialise(views.fine_zones(spark, sf_dir))
+        self.zones = write_table(views.fine_zones(spark, sf_dir))
         self.pairs = condition_g.generator_pairs(self.zones)
         self.targets, self.reference = split(fine_cells(spark, sf_dir), views.FINE_REFERENCE)
         self.outflows = flows.row_sums(self.targets, KEYS)
@@ -257,7 +257,7 @@ def condition_s_fine(spark, sf_dir):
 def day_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OD matrix per priority and year, the year standing in for the day."""
     yearly = views.nation_flows(spark, sf_dir).withColumn("date", F.trunc("date", "year"))
-    return materialise(flows.od_matrix(yearly, [*KEYS, "date"]))
+    return write_table(flows.od_matrix(yearly, [*KEYS, "date"]))
 
 
 def scored_days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -679,7 +679,7 @@ def _coarse_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     cells = nation_cells(spark, sf_dir)
     nations = views.nation_zones(spark, sf_dir)
     mapping = nations.select("study_area", "zone", "group")
-    coarse = materialise(zone_ops.dissolve(cells, mapping, KEYS))
+    coarse = write_table(zone_ops.dissolve(cells, mapping, KEYS))
     native = condition_s.condition_s(*split(cells, views.NATION_REFERENCE), nations, KEYS)
     merged = condition_s.condition_s(
         *split(coarse, views.NATION_REFERENCE), zone_ops.dissolve_zones(nations, mapping), KEYS
@@ -705,7 +705,7 @@ def scale_realisations(spark, sf_dir):
     layers = ["study_area", "realisation"]
     keys = [*layers, "partition"]
     names = mapping.select(*layers).distinct()
-    coarse = materialise(zone_ops.dissolve(lookup_join(cells, names, AREA), mapping, keys))
+    coarse = write_table(zone_ops.dissolve(lookup_join(cells, names, AREA), mapping, keys))
     merged_zones = zone_ops.dissolve_zones(lookup_join(fine.select("study_area", "zone"), names, AREA, spread=["zone"]), mapping, layers)
     targets, reference = split(cells, views.FINE_REFERENCE)
     native = lookup_join(condition_s.condition_s(targets, reference, fine, KEYS), names, AREA, spread=["partition"])
@@ -741,7 +741,7 @@ def report_table3(spark, sf_dir):
             labels.is_weekday(F.col("date")), "weekday"
         ).otherwise("weekend"),
     )
-    targets, reference = split(materialise(flows.od_matrix(weekly, KEYS)), views.NATION_REFERENCE)
+    targets, reference = split(write_table(flows.od_matrix(weekly, KEYS)), views.NATION_REFERENCE)
     scores = condition_s.condition_s(targets, reference, views.nation_zones(spark, sf_dir), KEYS)
     return rounded(report.overlap_table(scores, "table3_day_sex_age"))
 
@@ -749,7 +749,7 @@ def report_table3(spark, sf_dir):
 @query
 def report_table4(spark, sf_dir):
     fine = views.fine_zones(spark, sf_dir)
-    cells = materialise(
+    cells = write_table(
         zone_ops.with_length_band(zone_ops.with_distance(fine_cells(spark, sf_dir), fine))
         .where(F.col("band").isNotNull()).drop("distance")
     )
@@ -762,7 +762,7 @@ def report_table4(spark, sf_dir):
 @query
 def report_table5(spark, sf_dir):
     cuts = product_a.cut_flows(views.trips_a(spark, sf_dir), {"activity": labels.activity(F.col("activity_destination"))})
-    cells = materialise(flows.od_matrix(cuts.withColumn("study_area", F.lit("nations")), KEYS))
+    cells = write_table(flows.od_matrix(cuts.withColumn("study_area", F.lit("nations")), KEYS))
     reference = flows.od_matrix(
         product_a.cut_flows(views.trips_a(spark, sf_dir), {"am": F.when(labels.period(F.col("hour")) == "AM", "AM")})
         .withColumn("study_area", F.lit("nations")), AREA,

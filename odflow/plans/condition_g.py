@@ -19,7 +19,7 @@ from odflow.operators.generators.gravity import (
 from odflow.operators.generators.ipf import ipf_emit, train_columns
 from odflow.operators.generators.radiation import radiation_probabilities
 from odflow.operators.zones import AREA, with_distance, zone_pairs
-from odflow.session import materialise
+from odflow.session import write_table
 
 # Law names, the row order of the generator table, and the few-shot masks.
 GRAVITY_LAWS = {"power": "Gravity_power", "exp": "Gravity_exp"}
@@ -39,7 +39,7 @@ def generator_pairs(zones: DataFrame, area: Sequence[str] = AREA) -> DataFrame:
     pairs = zone_pairs(
         zones, {c: f"{n}_o" for c, n in named.items()}, {c: f"{n}_d" for c, n in named.items()}, area
     )
-    return materialise(pairs)
+    return write_table(pairs)
 
 
 def all_train(zones: DataFrame, area: Sequence[str] = AREA) -> DataFrame:
@@ -174,6 +174,8 @@ def run_generators(
     per_fold, steady = emit_generators(
         pairs, targets, reference, zones, keys, origins, area, mechanism, fewshot, max_cycles
     )
+    # Emissions are scored in three passes; the written copy saves fitting models again.
+    per_fold, steady = write_table(per_fold), write_table(steady)
     by_fold = score_condition_g(per_fold, targets, zones, [*keys, "fold", "law_model"], keys, area)
     once = score_condition_g(steady, targets, zones, [*keys, "law_model"], keys, area)
     repeated = once.join(origins.select(*area, "fold").distinct(), list(area))

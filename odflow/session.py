@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,6 +54,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def materialise(frame: DataFrame) -> DataFrame:
-    """Write the frame to the checkpoint folder and continue from the written copy."""
+    """Checkpoint the small state of a loop, so that a round's plan holds that round only."""
     ensure_checkpoint_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def write_table(frame: DataFrame) -> DataFrame:
+    """Write the frame as a Parquet table in the shared folder and continue from the written copy.
+
+    For tables that several later steps read: they prune columns, and joins know the true size, so the
+    planner broadcasts a copy under its threshold and shuffles a larger one.
+    """
+    spark = frame.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
