@@ -239,7 +239,7 @@ def score_pair(spark, sf_dir):
     targets, reference = split(fine_cells(spark, sf_dir), views.FINE_REFERENCE)
     fine = views.fine_zones(spark, sf_dir)
     cells = flows.align(KEYS, a=targets, b=flows.spread_over(reference, targets, AREA, KEYS))
-    return rounded(metrics.score_pair(zone_ops.with_distance(cells, fine), KEYS, flows.zone_counts(fine), AREA))
+    return rounded(metrics.score_pair(cells, KEYS, flows.zone_counts(fine), AREA, fine))
 
 
 @query

@@ -30,12 +30,14 @@ def lookup_join(
     pairs = dict(on) if isinstance(on, Mapping) else {c: c for c in on}
     carried = [c for c in table.columns if c not in pairs.values()]
     salts = salt_count(rows.sparkSession)
+    # Bits of the hash, never NULL: no filter on the salt sinks below the join, where it would keep
+    # steps on the same rows from sharing an exchange.
     salted = rows.withColumn(
-        _SALT, F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.lit(salts)).cast("int")
+        _SALT, F.xxhash64(*[F.col(c) for c in spread]).bitwiseAND(F.lit(salts - 1).cast("long"))
     )
     renamed = [F.col(c).alias(f"_on_{i}") for i, c in enumerate(pairs.values())]
     copies = table.select(
-        *renamed, *carried, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_on_salt")
+        *renamed, *carried, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("_on_salt")
     )
     condition = F.col(_SALT) == F.col("_on_salt")
     for i, left in enumerate(pairs):

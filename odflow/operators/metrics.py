@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from odflow.functions.numeric import TINY, correlation, dice, ratio
 from odflow.functions.spread import lookup_join
 from odflow.operators.flows import align, spread_over, transpose
+from odflow.operators.zones import with_distance
 
 # Inner edges of the trip-length histogram (km) and number of cell-size bins.
 LENGTH_EDGES = (0.5, 2.0, 10.0, 50.0)
@@ -71,11 +72,8 @@ def pearson_log(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def length_bin(distance: Column, edges: Sequence[float] = LENGTH_EDGES) -> Column:
-    """Number of inner edges at or below the distance."""
-    bins = F.lit(0)
-    for edge in edges:
-        bins = bins + F.when(distance >= edge, 1).otherwise(0)
-    return bins
+    """Number of inner edges at or below the distance, NULL for an unknown distance."""
+    return F.when(distance.isNotNull(), reduce(add, [(distance >= edge).cast("int") for edge in edges]))
 
 
 def with_length_bin(cells: DataFrame, edges: Sequence[float] = LENGTH_EDGES) -> DataFrame:
@@ -232,12 +230,22 @@ def score_aggregates(
     )
 
 
-def score_pair(cells: DataFrame, keys: Sequence[str], counts: DataFrame, area: Sequence[str]) -> DataFrame:
+def score_pair(
+    cells: DataFrame,
+    keys: Sequence[str],
+    counts: DataFrame,
+    area: Sequence[str],
+    zones: DataFrame | None = None,
+) -> DataFrame:
     """All scores of (a, b) per key: one pass for the largest cell, one for everything else.
 
-    CPCd needs a ``distance`` column and is NULL without it. ``counts`` gives ``n_zones`` per area.
+    CPCd needs a ``distance`` column or ``zones`` with coordinates and is NULL otherwise. ``counts``
+    gives ``n_zones`` per area. Distances are added after the two passes part, so both read one
+    exchange of the cells.
     """
     ranged = lookup_join(cells, _largest(cells, keys), list(keys))
+    if zones is not None and {"x", "y"} <= set(zones.columns):
+        ranged = with_distance(ranged, zones, area)
     return score_aggregates(ranged, keys, counts, area).select(*keys, *PAIR_SCORES)
 
 

@@ -36,11 +36,14 @@ def clip_to_zones(flows: DataFrame, zones: DataFrame, keys: Sequence[str] = AREA
 def attach_zone(
     rows: DataFrame, zones: DataFrame, columns: dict[str, str], end: str, keys: Sequence[str] = AREA
 ) -> DataFrame:
-    """Add zone attributes (``{attribute: new name}``) of one end of each pair."""
+    """Add zone attributes (``{attribute: new name}``) of one end of each pair, NULL for unknown zones.
+
+    A left join also adds no filter below, so that steps sharing the cells share their exchange.
+    """
     shared = [k for k in keys if k in zones.columns]
     table = zones.select(*shared, "zone", *[F.col(c).alias(n) for c, n in columns.items()])
     other = "destination" if end == "origin" else "origin"
-    return lookup_join(rows, table, {**{k: k for k in shared}, end: "zone"}, "inner", spread=[other])
+    return lookup_join(rows, table, {**{k: k for k in shared}, end: "zone"}, "left", spread=[other])
 
 
 def centroid_distance(with_area: bool = True) -> Column:

@@ -18,7 +18,7 @@ from odflow.operators.generators.gravity import (
 )
 from odflow.operators.generators.ipf import ipf_emit, train_columns
 from odflow.operators.generators.radiation import radiation_probabilities
-from odflow.operators.zones import AREA, with_distance, zone_pairs
+from odflow.operators.zones import AREA, zone_pairs
 from odflow.session import write_table
 
 # Law names, the row order of the generator table, and the few-shot masks.
@@ -77,8 +77,7 @@ def score_condition_g(
     gaps = cells.groupBy(*keys, "origin").agg(F.sum("a").alias("_a"), F.sum("b").alias("_b"))
     missed = F.abs(F.col("_a") - F.col("_b")) > tolerance + tolerance * F.abs("_b")
     checks = gaps.groupBy(*keys).agg(F.count_if(missed).alias("_missed"))
-    placed = with_distance(cells, zones, area) if {"x", "y"} <= set(zones.columns) else cells
-    scores = metrics.score_pair(placed, keys, zone_counts(zones, area), area)
+    scores = metrics.score_pair(cells, keys, zone_counts(zones, area), area, zones)
     checked = lookup_join(scores, checks, list(keys), spread=["CPC"])
     failure = F.raise_error(F.lit("emitted row sums miss the target outflows")).cast("double")
     return checked.withColumn("CPC", F.when(F.col("_missed") > 0, failure).otherwise(F.col("CPC"))).drop("_missed")

@@ -28,8 +28,9 @@ def local_session(cores: str = "8", app: str = "odflow") -> SparkSession:
 
 
 def salt_count(spark: SparkSession) -> int:
-    """How many ways a lookup on a few hot keys is spread."""
-    return int(spark.conf.get(SALTS_CONF, str(DEFAULT_SALTS)))
+    """How many ways a lookup on a few hot keys is spread: the setting, rounded up to a power of two."""
+    wanted = int(spark.conf.get(SALTS_CONF, str(DEFAULT_SALTS)))
+    return 1 << max(wanted - 1, 0).bit_length()
 
 
 def shuffle_width(spark: SparkSession) -> int:
