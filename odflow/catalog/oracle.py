@@ -250,6 +250,30 @@ def loglik(law: str, betas: list[float], rows: str, keys: str, label: str) -> st
     )
 
 
+def bisection(keys: str, starts: str, flows: str, joined: str) -> tuple[str, ...]:
+    """CTE ``beta(keys, law, beta)``: 45 bisections of the likelihood's slope per key and law.
+
+    ``starts`` lists the keys, ``flows`` (keys without fold, o, d, f) and ``joined`` the condition that
+    ties an origin's flow to a key.
+    """
+    own = ", ".join(f"b.{k}" for k in keys.split(", "))
+    flow_keys = "".join(f"{k}, " for k in keys.split(", ") if k != "fold")
+    return (
+        "gp AS (SELECT o, d, md, 'power' law, ln(greatest(dist, 1e-12)) g FROM pairs "
+        "UNION ALL SELECT o, d, md, 'exp', dist FROM pairs)",
+        f"og AS (SELECT {flow_keys} law, q.o, sum(f) osum, sum(f * g) rg FROM {flows} q JOIN gp ON gp.o = q.o AND gp.d = q.d GROUP BY ALL)",
+        f"bis AS (SELECT * FROM (SELECT {keys}, law, lo, hi, 0 step FROM ({starts}) s, "
+        "(VALUES ('power', CAST(0.1 AS DOUBLE), CAST(3.0 AS DOUBLE)), ('exp', CAST(0.01 AS DOUBLE), CAST(2.0 AS DOUBLE))) v(law, lo, hi)) "
+        f"UNION ALL SELECT {keys}, law, CASE WHEN slope > 0 THEN (lo + hi) / 2 ELSE lo END, "
+        f"CASE WHEN slope > 0 THEN hi ELSE (lo + hi) / 2 END, step + 1 FROM (SELECT {keys}, law, lo, hi, step, "
+        f"sum(osum * wg / sw - rg) slope FROM (SELECT {own}, b.law, lo, hi, step, gp.o, any_value(osum) osum, any_value(rg) rg, "
+        "sum(md * exp(-(lo + hi) / 2 * g)) sw, sum(md * exp(-(lo + hi) / 2 * g) * g) wg "
+        f"FROM bis b JOIN gp ON gp.law = b.law JOIN og ON og.law = b.law AND og.o = gp.o {joined} "
+        "WHERE step < 45 GROUP BY ALL) GROUP BY ALL))",
+        f"beta AS (SELECT {keys}, law, (lo + hi) / 2 beta FROM bis WHERE step = 45)",
+    )
+
+
 def condition_s_sql(columns: str, from_: str = "score JOIN more USING (p) JOIN sums USING (p)") -> str:
     return f"SELECT {columns} FROM {from_}"
 
@@ -308,6 +332,20 @@ SELECT 'grid' study_area, fold, mask, CAST(CASE mask
 FROM (SELECT fold, count(*) kept FROM train GROUP BY fold), size,
   (VALUES ('1pct_edges'), ('10pct_edges'), ('10pct_zones')) v(mask)"""
 
+
+
+def far_seeds(count: int) -> str:
+    """Farthest-point seeds where hops are king moves on the grid, one CTE per seed."""
+    steps = ["s0 AS (SELECT zone, k, x, y FROM z ORDER BY k LIMIT 1)", "u0 AS (SELECT *, 0 seed_no FROM s0)"]
+    for i in range(1, count):
+        steps.append(
+            f"s{i} AS (SELECT z.zone, z.k, z.x, z.y FROM z, u{i - 1} u WHERE z.k NOT IN (SELECT k FROM u{i - 1}) "
+            "GROUP BY ALL ORDER BY min(greatest(abs(z.x - u.x), abs(z.y - u.y))) DESC, z.k LIMIT 1)"
+        )
+        steps.append(f"u{i} AS (SELECT * FROM u{i - 1} UNION ALL SELECT *, {i} FROM s{i})")
+    return fine(f"SELECT 'grid' study_area, seed_no, zone \"zone\" FROM u{count - 1}", *steps)
+
+
 NEAR = "abs(a.x - b.x) <= 2 AND abs(a.y - b.y) <= 2 AND a.zone <> b.zone"
 
 SQL: dict[str, str] = {
@@ -488,6 +526,18 @@ SQL: dict[str, str] = {
         "power", [0.1, 0.5, 1.0, 1.5, 2.0, 2.5, 3.0], "r", "", "'grid' study_area"
     ),
     "gravity_loglik_exp_grid": loglik("exp", [0.01, 0.1, 0.5], "t0", "p", GRID),
+    "gravity_fit": fine(
+        "SELECT 'grid' study_area, fold, law, round(beta, 4) beta FROM beta",
+        TRAIN,
+        *bisection("fold", "SELECT DISTINCT fold FROM train", "r", "JOIN train ON train.fold = b.fold AND train.o = gp.o"),
+    ),
+    "oracle_gravity": fine(
+        f"SELECT {GRID.replace('p ', 'outs.p ')}, 0 fold, 'power' law, x.o origin, x.d destination, round(osum * w / sw, 6) flow "
+        "FROM (SELECT *, sum(w) OVER (PARTITION BY p, o) sw FROM (SELECT p, o, d, md * pow(greatest(dist, 1e-12), -beta) w "
+        "FROM pairs, beta WHERE law = 'power')) x JOIN outs ON outs.p = x.p AND outs.o = x.o",
+        OUTFLOWS,
+        *bisection("p", "SELECT p FROM keys", "t", "AND og.p = b.p"),
+    ),
     "ipf_fixed_cycles": ipf_cycles(3),
     "ipf_train_columns": fine(
         "SELECT 'grid' study_area, q.fold, osum.p \"partition\", z.zone destination, "
@@ -519,6 +569,7 @@ SQL: dict[str, str] = {
         "walk AS (SELECT '0' zone, 0 hops UNION SELECT dst, hops + 1 FROM walk JOIN near ON src = zone "
         "WHERE hops < (SELECT w FROM size))",
     ),
+    "fps_seeds": far_seeds(5),
     "block_quality": "SELECT 'grid' study_area, CAST(5 AS BIGINT) n_blocks, "
     "CAST(CASE WHEN count(*) % 5 = 0 THEN 0 ELSE 1 END AS BIGINT) size_spread FROM supplier",
     "folds": fine(
