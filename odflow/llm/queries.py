@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from odflow.llm import chat, mixing, topk
+import public_tokenizers
+
+from odflow.llm import bpe, chat, fingerprint, language, mixing, topk
 from odflow.llm.tables import read
 
 
@@ -19,6 +21,24 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; documents with remainder 2 are held out of the training."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
+    docs = docs.withColumn("held_out", language.held_out(F.col("doc_id")))
+    model = language.learn(docs.where("NOT coalesce(held_out, false)"))
+    return language.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the token ids of every document, and of what they decode to."""
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as file:
+        coded = bpe.encode(read(spark, sf_dir, "documents"), file.read(), public_tokenizers.PATTERN, decoded=True)
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 #: Both turns of the added conversation say this.
 TRICKY = "\\### Assistant: </turn> ok"
 
@@ -39,10 +59,19 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how near they and the next document's are."""
+    found = fingerprint.with_edits(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 QUERIES = {
     "op2_mix": op2_mix,
     "op4_topk": op4_topk,
+    "op5_language": op5_language,
+    "op6_bpe": op6_bpe,
     "op7_chat": op7_chat,
+    "op9_fingerprint": op9_fingerprint,
 }
 
 SQL = {
