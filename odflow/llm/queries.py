@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from odflow.llm import bpe, chat, fingerprint, language, mixing, topk
+from odflow.llm import automaton, bpe, chat, fingerprint, language, mixing, suffix, topk
 from odflow.llm.tables import read
 
 
@@ -16,6 +16,12 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(*mixing.mix(read(spark, sf_dir, "documents")))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the bytes of 50-byte strings that a smaller document holds."""
+    found = suffix.remove_repeated_strings(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best inner products of every fiftieth vector."""
     return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
@@ -59,6 +65,12 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the words of 13-word sequences that a smaller document holds."""
+    found = automaton.remove_repeated_passages(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and how near they and the next document's are."""
     found = fingerprint.with_edits(read(spark, sf_dir, "documents"))
@@ -67,10 +79,12 @@ def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_mix": op2_mix,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_topk": op4_topk,
     "op5_language": op5_language,
     "op6_bpe": op6_bpe,
     "op7_chat": op7_chat,
+    "op8_substring": op8_substring,
     "op9_fingerprint": op9_fingerprint,
 }
 
