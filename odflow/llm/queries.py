@@ -7,10 +7,19 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from odflow.llm import automaton, bpe, chat, fingerprint, language, mixing, suffix, topk
+from odflow.llm import automaton, bpe, chat, fingerprint, language, mixing, pii, suffix, topk
 from odflow.llm.tables import read
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base counts, digest of the base spans, and all spans."""
+    docs = read(spark, sf_dir, "documents")
+    found = pii.find_spans(docs, pii.learn(docs))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k) for k in pii.BASE_KINDS], F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     return mixing.taken(*mixing.mix(read(spark, sf_dir, "documents")))
@@ -78,6 +87,7 @@ def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_mix": op2_mix,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_topk": op4_topk,
