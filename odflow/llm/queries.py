@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from odflow.llm import automaton, bpe, chat, fingerprint, language, mixing, pii, suffix, topk
+from odflow.llm import automaton, bpe, chat, fingerprint, jaccard, language, mixing, pii, suffix, topk
 from odflow.llm.tables import read
 
 
@@ -86,6 +86,11 @@ def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document, at a Jaccard similarity of 0.8."""
+    return jaccard.components(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_mix": op2_mix,
@@ -96,6 +101,7 @@ QUERIES = {
     "op7_chat": op7_chat,
     "op8_substring": op8_substring,
     "op9_fingerprint": op9_fingerprint,
+    "op10_jaccard": op10_jaccard,
 }
 
 SQL = {
