@@ -208,8 +208,8 @@ class Encoder:
         return ids, upto[last] - upto[last - pieces]
 
 
-def encode(docs: DataFrame, file: bytes, pattern: str, decoded: bool = False) -> DataFrame:
-    """``doc_id, ids array<int>``; with ``decoded`` also ``decoded binary``, the bytes that the ids stand for."""
+def encode(docs: DataFrame, file: bytes, pattern: str, decoded: bool = False, keep_text: bool = False) -> DataFrame:
+    """``doc_id, ids array<int>``; with ``decoded`` also ``decoded binary``, the bytes that the ids stand for; ``text`` if kept."""
     shared = docs.sparkSession.sparkContext.broadcast(file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +222,9 @@ def encode(docs: DataFrame, file: bytes, pattern: str, decoded: bool = False) ->
                 body = coder.vocabulary.decode(ids)
                 upto = np.concatenate(([0], np.cumsum(coder.vocabulary.length[ids])))[offsets]
                 columns["decoded"] = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(upto.astype(np.int32).tobytes()), pa.py_buffer(body.tobytes())])
+            if keep_text:
+                columns["text"] = batch.column("text")
             yield pa.RecordBatch.from_pydict(columns)
 
-    shape = "doc_id long, ids array<int>" + ", decoded binary" * decoded
+    shape = "doc_id long, ids array<int>" + ", decoded binary" * decoded + ", text string" * keep_text
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, shape)

@@ -266,7 +266,10 @@ def connected(links: DataFrame) -> DataFrame:
 
 
 def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, row_key, n_shingles, component_id`` for every row; ``row_key`` is equal for equal ids and texts."""
+    """``doc_id, row_key, n_shingles, component_id, root`` for every row.
+
+    ``row_key`` is equal for equal ids and texts; ``root`` is one of a component's keys, equal for all its rows.
+    """
     from odflow.session import write_table
 
     spark = docs.sparkSession
@@ -310,6 +313,6 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     named = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = named.join(smallest, "root").select(*[F.col(c).alias(f"_{c}") for c in same], "component_id")
+    named = named.join(smallest, "root").select(*[F.col(c).alias(f"_{c}") for c in same], "component_id", "root")
     match = (F.col("sum") == F.col("_sum")) & (F.col("mix") == F.col("_mix")) & (F.col("n") == F.col("_n")) & (F.col("grp") == F.col("_grp"))
-    return ids.join(named, match, "left").select("doc_id", "row_key", F.col("n").alias("n_shingles"), F.coalesce("component_id", F.when(F.col("n") == 0, F.col("doc_id"))).alias("component_id"))
+    return ids.join(named, match, "left").select("doc_id", "row_key", F.col("n").alias("n_shingles"), F.coalesce("component_id", F.when(F.col("n") == 0, F.col("doc_id"))).alias("component_id"), F.coalesce("root", "row_key").alias("root"))

@@ -21,6 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from odflow.llm import tables, text
 
@@ -28,17 +29,31 @@ BLOCK_WORDS = 64
 SHARD_SLOTS = 1024
 MOST_ROUNDS = 3
 WEIGHTS = (1, 2, 3)
+#: Rows that agree in these are alike.
+KEY = ("doc_id", "source", "mark")
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """``doc_id, source, size`` of every document, and ``row``, a number that tells repeated rows apart."""
+    """``doc_id, source, mark, size`` of every document; ``mark`` is a hash of its text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text.slices(batches, "text"):
             _, _, first = text.words(*text.flat(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(np.diff(first), pa.int64())], ["doc_id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in KEY], pa.array(np.diff(first), pa.int64())], [*KEY, "size"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(count, "doc_id long, source string, size long")
+    return _keyed(docs).select(*KEY, "text").mapInArrow(count, "doc_id long, source string, mark long, size long")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    docs = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "source": F.col("source").cast("string"), "text": F.col("text").cast("string")})
+    return docs.withColumn("mark", F.xxhash64("text"))
+
+
+def _same(left: DataFrame, right: DataFrame, columns: Sequence[str], how: str) -> DataFrame:
+    """Join on columns that may be null."""
+    named = right.select(*[F.col(c).alias(f"_{c}") if c in columns else F.col(c) for c in right.columns])
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns]
+    return left.join(named, on, how).drop(*[f"_{c}" for c in columns])
 
 
 def shares(sizes: Sequence[int], weights: Sequence[int], most: int = MOST_ROUNDS) -> list[float]:
@@ -77,8 +92,9 @@ def permuted(place: np.ndarray, count: np.ndarray, key: np.ndarray) -> np.ndarra
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 17) -> tuple[DataFrame, DataFrame]:
     """Return the documents, and the pieces of the mix.
 
-    Documents: ``doc_id, row, source, size, source_size, target``; ``row`` is a document's place in its source's stream of
-    words. Pieces: ``shard, slot, source, row, doc_id, first_word, n_words``: which words of a document fill which slot.
+    Documents: ``doc_id, source, mark, copy, row, size, source_size, target``; ``copy`` numbers rows that are alike, ``row`` is a
+    document's place in its source's stream of words. Pieces: ``shard, slot, round, doc_id, source, mark, copy, first_word, n_words``:
+    which words of a document fill which slot.
     """
     from odflow.session import write_table
 
@@ -97,21 +113,21 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHAR
     )
     numbered = sizes.join(F.broadcast(frame), F.col("source").eqNullSafe(F.col("source_name"))).drop("source_name")
     parts = tables.width(spark)
-    # Rows that agree in doc_id, source and size are alike; the number tells them apart.
-    alike = numbered.groupBy("source_no", "source", "doc_id", "size", "source_size", "target").count()
+    # Rows that are alike are counted and then told apart by number.
+    alike = numbered.groupBy("source_no", *KEY, "size", "source_size", "target").count()
     alike = alike.withColumn("all_size", F.col("size") * F.col("count"))
-    placed = tables.running_start(alike, ["source_no"], ["doc_id", "size"], "all_size", "start", parts)
+    placed = tables.running_start(alike, ["source_no"], ["doc_id", "mark"], "all_size", "start", parts)
     placed = placed.select("*", F.posexplode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("copy", "_")).drop("_", "count", "all_size")
     placed = write_table(placed.withColumn("start", F.col("start") + F.col("copy") * F.col("size")))
-    documents = placed.select("doc_id", F.col("start").alias("row"), "copy", "source", "size", "source_size", "target")
+    documents = placed.select(*KEY, "copy", F.col("start").alias("row"), "size", "source_size", "target")
 
     slots = _slots(spark, quotas, blocks, shard_slots, seed, parts)
     first, last = F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words)
-    pieces = placed.where("size > 0").select("source_no", "source", "doc_id", "start", "copy", "size", F.explode(F.sequence(first, last)).alias("block"))
+    pieces = placed.where("size > 0").select("source_no", *KEY, "start", "copy", "size", F.explode(F.sequence(first, last)).alias("block"))
     begin = F.greatest(F.col("start"), F.col("block") * block_words)
     end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words)
-    pieces = pieces.select("source_no", "source", "doc_id", F.col("start").alias("row"), "copy", "block", (begin - F.col("start")).alias("first_word"), (end - begin).alias("n_words"))
-    mixed = slots.join(pieces, ["source_no", "block"]).select("shard", "slot", "source", "round", "row", "copy", "doc_id", "first_word", "n_words")
+    pieces = pieces.select("source_no", *KEY, "copy", "block", (begin - F.col("start")).alias("first_word"), (end - begin).alias("n_words"))
+    mixed = slots.join(pieces, ["source_no", "block"]).select("shard", "slot", "round", *KEY, "copy", "first_word", "n_words")
     return documents, mixed
 
 
@@ -166,7 +182,41 @@ def _slots(spark, quotas: list[int], blocks: list[int], shard_slots: int, seed:
 
 def taken(documents: DataFrame, pieces: DataFrame) -> DataFrame:
     """Documents with ``taken``: words that the mix takes of each, repeats counted."""
-    sums = pieces.groupBy("doc_id", "source", "row", "copy").agg(F.sum("n_words").alias("taken"))
-    sums = sums.select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "source", "row", "copy")], "taken")
-    same = (F.col("row") == F.col("_row")) & (F.col("copy") == F.col("_copy")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source"))
-    return documents.join(sums, same, "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    sums = pieces.groupBy(*KEY, "copy").agg(F.sum("n_words").alias("taken"))
+    joined = _same(documents, sums, [*KEY, "copy"], "left")
+    return joined.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 17) -> DataFrame:
+    """The mix as rows of ``docs``: for each round in which words of a document are taken, those words as ``text``; ``n_chars`` follows.
+
+    Runs of words keep the text between them; a gap becomes a line feed. Of rows that are alike, one gives the other columns.
+    """
+    names = docs.columns
+    _, pieces = mix(docs, block_words, shard_slots, seed)
+    spans = pieces.groupBy(*KEY, "copy", "round").agg(F.array_sort(F.collect_list(F.struct("first_word", "n_words"))).alias("spans"))
+    keyed = _keyed(docs)
+    once = keyed.groupBy(*KEY).agg(*[F.first(c).alias(c) for c in keyed.columns if c not in KEY])
+    rows = _same(once, spans.select(*KEY, "spans"), KEY, "inner").select(*names, "spans")
+    shape = T.StructType([T.StructField(c, T.LongType() if c == "n_chars" else rows.schema[c].dataType) for c in names])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text.slices(batches, "text"):
+            data, offsets = text.flat(batch.column("text"))
+            starts, ends, first = text.words(data, offsets)
+            body, new = data.tobytes(), []
+            for at, spans in zip(first.tolist(), batch.column("spans").to_pylist(), strict=False):
+                runs: list[list[int]] = []
+                for s in spans:
+                    if runs and runs[-1][1] == s["first_word"]:
+                        runs[-1][1] += s["n_words"]
+                    else:
+                        runs.append([s["first_word"], s["first_word"] + s["n_words"]])
+                new.append(b"\n".join(body[starts[at + a] : ends[at + b - 1]] for a, b in runs).decode())
+            columns = {c: batch.column(c) for c in names}
+            columns["text"] = pa.array(new, pa.string())
+            if "n_chars" in columns:
+                columns["n_chars"] = pa.array([len(t) for t in new], pa.int64())
+            yield pa.RecordBatch.from_pydict(columns)
+
+    return rows.mapInArrow(cut, shape)

@@ -44,10 +44,15 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def tokenizer() -> tuple[bytes, str]:
+    """The rank file of the vocabulary, and the pattern that cuts texts before its merges."""
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as file:
+        return file.read(), public_tokenizers.PATTERN
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the token ids of every document, and of what they decode to."""
-    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as file:
-        coded = bpe.encode(read(spark, sf_dir, "documents"), file.read(), public_tokenizers.PATTERN, decoded=True)
+    coded = bpe.encode(read(spark, sf_dir, "documents"), *tokenizer(), decoded=True)
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
