@@ -11,15 +11,15 @@ from pyspark.sql import functions as F
 
 from odflow.llm import bpe, jaccard, language, mixing, pii
 from odflow.llm.queries import tokenizer
-from odflow.llm.tables import read
+from odflow.llm.tables import read, shielded
 from odflow.session import write_table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents in which no language can be told: null texts, and texts without letters. ``lang`` becomes the predicted one."""
-    model = language.learn(docs.select("doc_id", "text", "lang"))
-    judged = language.identify(docs, model).where(F.col("lang_pred") != language.UNKNOWN)
-    return judged.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    docs, named = shielded(docs, ("doc_id", "text", "lang"))
+    judged = language.identify(docs, language.learn(docs)).where(F.col("lang_pred") != language.UNKNOWN)
+    return named(judged.withColumn("lang", F.col("lang_pred")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +30,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = jaccard.components(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key"))
     kept = found.groupBy("root").agg(first.alias("first")).select(F.col("first.row_key").alias("_key"))
+    docs, named = shielded(docs, ("doc_id", "text"))
     keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    return keyed.join(kept, "_key").dropDuplicates(["_key"]).select(*docs.columns)
+    return named(keyed.join(kept, "_key").dropDuplicates(["_key"]))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -192,6 +192,7 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots
 
     Runs of words keep the text between them; a gap becomes a line feed. Of rows that are alike, one gives the other columns.
     """
+    docs, named = tables.shielded(docs, ("doc_id", "source", "text", "n_chars"))
     names = docs.columns
     _, pieces = mix(docs, block_words, shard_slots, seed)
     spans = pieces.groupBy(*KEY, "copy", "round").agg(F.array_sort(F.collect_list(F.struct("first_word", "n_words"))).alias("spans"))
@@ -219,4 +220,4 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots
                 columns["n_chars"] = pa.array([len(t) for t in new], pa.int64())
             yield pa.RecordBatch.from_pydict(columns)
 
-    return rows.mapInArrow(cut, shape)
+    return named(rows.mapInArrow(cut, shape))

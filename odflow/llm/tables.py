@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +12,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shielded(docs: DataFrame, own: Sequence[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with all columns but ``own`` under names that nothing else has, and what gives them their names back."""
+    names = {c: c if c in own else f"_extra_{i}" for i, c in enumerate(docs.columns)}
+    hidden = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    return hidden, lambda frame: frame.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def width(spark: SparkSession) -> int:
     """Tasks of a shuffle, as the session sets them."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
