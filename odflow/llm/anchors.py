@@ -9,9 +9,9 @@ of ``anchor`` elements with the least hash, leftmost of equals. Equal windows ha
    comparison given by the caller says which windows occur in a smaller document;
 3. the answers return to the documents.
 
-Rows travel as packed arrays, one record per pair of buckets. Documents are shuffled once; both later passes read
+Rows travel as packed and compressed arrays, one record per pair of buckets. Documents are shuffled once; both later passes read
 that exchange. Equal surroundings within a bucket of documents are sent once. Rows with equal id and text are one document. Each group
-that a task holds is one of ``BUCKETS_PER_TASK`` buckets of a shuffle partition.
+that a task holds is a bucket: as many as shuffle partitions for anchors, ``BUCKETS_PER_TASK`` times as many for documents.
 """
 
 from __future__ import annotations
@@ -101,8 +101,15 @@ def find(kind: Kind, values: np.ndarray, first: np.ndarray) -> Anchors:
     return Anchors(place, at[begin], at[end], np.searchsorted(first, place, side="right") - 1, text.mix64(code[place]), prefix, first)
 
 
+def _tight(values: np.ndarray) -> bytes:
+    """Bytes of an array, compressed, after their length."""
+    body = values.tobytes()
+    return len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
+
+
 def _arrays(table: pa.Table, name: str, dtype) -> list[np.ndarray]:
-    return [np.frombuffer(v.as_buffer(), dtype=dtype) for v in table.column(name)]
+    cells = [v.as_buffer() for v in table.column(name)]
+    return [np.frombuffer(pa.decompress(c[8:], decompressed_size=int.from_bytes(c[:8], "little"), codec="zstd"), dtype=dtype) for c in cells]
 
 
 def _joined(parts: list[np.ndarray], dtype) -> np.ndarray:
@@ -122,15 +129,15 @@ def _send(kind: Kind, buckets: int) -> Callable:
 
     def flush(rows: list, keys: list, row: list, nth: list) -> Iterator[pa.RecordBatch]:
         rows, keys, row, nth = (np.concatenate(x) for x in (rows, keys, row, nth))
-        out = {k: [] for k in ("bucket", "rows", "key_high", "key_low", "row_step", "nth")}
+        out = {k: [] for k in ("bucket", "rows", "key", "row_step", "nth")}
         for bucket, part in _by_bucket((keys >> np.uint64(40)).astype(np.int64) % buckets):
             held, local = np.unique(row[part], return_inverse=True)
             out["bucket"].append(bucket)
-            out["rows"].append(rows[held].tobytes())
-            out["key_high"].append((keys[part] >> np.uint64(32)).astype(np.uint32).tobytes())
-            out["key_low"].append((keys[part] >> np.uint64(16)).astype(np.uint16).tobytes())
-            out["row_step"].append(np.diff(local, prepend=0).astype(np.uint32).tobytes())
-            out["nth"].append(nth[part].astype(np.uint32).tobytes())
+            out["rows"].append(_tight(rows[held]))
+            # 32 bits besides the bucket's: what still agrees by chance falls at the comparison.
+            out["key"].append(_tight(keys[part].astype(np.uint32)))
+            out["row_step"].append(_tight(np.diff(local, prepend=0).astype(np.uint32)))
+            out["nth"].append(_tight(nth[part].astype(np.uint32)))
         yield pa.RecordBatch.from_pydict(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,8 +166,7 @@ def _meet(doc_buckets: int) -> Callable:
         shift = np.cumsum([0, *[len(r) for r in rows]])
         row_key = _joined(rows, np.int64)
         row = _joined([np.cumsum(s, dtype=np.int64) + b for s, b in zip(_arrays(sent, "row_step", np.uint32), shift, strict=False)], np.int64)
-        key = _joined(_arrays(sent, "key_high", np.uint32), np.uint32).astype(np.uint64) << np.uint64(16)
-        key |= _joined(_arrays(sent, "key_low", np.uint16), np.uint16).astype(np.uint64)
+        key = _joined(_arrays(sent, "key", np.uint32), np.uint32)
         nth = _joined(_arrays(sent, "nth", np.uint32), np.uint32)
         order = np.argsort(key)
         key = key[order]
@@ -180,10 +186,10 @@ def _addressed(owner: np.ndarray, columns: dict[str, np.ndarray], doc_buckets: i
     for bucket, part in _by_bucket(owner % doc_buckets):
         rows, local = np.unique(owner[part], return_inverse=True)
         out["doc_bucket"].append(bucket)
-        out["rows"].append(rows.tobytes())
-        out["row"].append(local.astype(np.uint32).tobytes())
+        out["rows"].append(_tight(rows))
+        out["row"].append(_tight(local.astype(np.uint32)))
         for name, values in columns.items():
-            out[name].append(values[part].astype(np.uint32).tobytes())
+            out[name].append(_tight(values[part].astype(np.uint32)))
     kinds = [pa.int64(), *[pa.binary()] * (len(out) - 1)]
     return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds, strict=True)})
 
@@ -239,19 +245,22 @@ def _pack(kind, out, splitters, values, found, keep, row_key, doc_id) -> None:
     same = text.span_hashes(found.prefix, low, end) + (place - low).astype(np.uint64)
     for b, part in _by_bucket(bucket):
         _, first, context = np.unique(same[part], return_index=True, return_inverse=True)
-        first = part[first]
+        # Surroundings are numbered as they first occur.
+        rank = np.empty(len(first), dtype=np.int64)
+        rank[np.argsort(first, kind="stable")] = np.arange(len(first))
+        context, first = rank[context], part[np.sort(first)]
         size = end[first] - low[first]
         body = values[text.ranges(low[first], size)]
         rows, local = np.unique(row[part], return_inverse=True)
         out["bucket"].append(b)
-        out["body"].append(body.tobytes() if kind.width == 1 else body.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : kind.width].tobytes())
-        out["left"].append((place - low)[first].astype(np.uint16).tobytes())
-        out["size"].append(size.astype(np.uint16).tobytes())
-        out["rows"].append(row_key[rows].tobytes())
-        out["ids"].append(doc_id[rows].tobytes())
-        out["row"].append(local.astype(np.uint32).tobytes())
-        out["context"].append(context.astype(np.uint32).tobytes())
-        out["place"].append((place - found.first[row])[part].astype(np.uint32).tobytes())
+        out["body"].append(_tight(body if kind.width == 1 else body.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : kind.width]))
+        out["left"].append(_tight((place - low)[first].astype(np.uint16)))
+        out["size"].append(_tight(size.astype(np.uint16)))
+        out["rows"].append(_tight(row_key[rows]))
+        out["ids"].append(_tight(doc_id[rows]))
+        out["row"].append(_tight(local.astype(np.uint32)))
+        out["context"].append(_tight(np.diff(context, prepend=0).astype(np.int32)))
+        out["place"].append(_tight((place - found.first[row])[part].astype(np.uint32)))
 
 
 class Contexts(NamedTuple):
@@ -280,7 +289,7 @@ def _compare(kind: Kind, judge: Callable[[Kind, Contexts], np.ndarray], doc_buck
         local = _arrays(sent, "row", np.uint32)
         owner = _joined([r[i] for r, i in zip(_arrays(sent, "rows", np.int64), local, strict=True)], np.int64)
         doc_id = _joined([r[i] for r, i in zip(_arrays(sent, "ids", np.int64), local, strict=True)], np.int64)
-        context = _joined([c.astype(np.int64) + b for c, b in zip(_arrays(sent, "context", np.uint32), n_contexts, strict=False)], np.int64)
+        context = _joined([np.cumsum(c, dtype=np.int64) + b for c, b in zip(_arrays(sent, "context", np.int32), n_contexts, strict=False)], np.int64)
         left = _joined(_arrays(sent, "left", np.uint16), np.uint16).astype(np.int64)
         mask = judge(kind, Contexts(body, np.cumsum(size) - size, size, left, context, doc_id))
         place = _joined(_arrays(sent, "place", np.uint32), np.uint32)
@@ -331,16 +340,17 @@ def remove_repeats(docs: DataFrame, kind: Kind, judge: Callable, cut: Callable,
     Documents of a null id count as larger than all others and never repeat each other.
     """
     spark = docs.sparkSession
-    parts = tables.width(spark) * BUCKETS_PER_TASK
+    buckets = tables.width(spark)
+    parts = buckets * BUCKETS_PER_TASK
     own = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     own = own.withColumn("doc_id", F.coalesce("own_id", F.lit((1 << 63) - 1)))
     own = own.withColumn("row_key", F.xxhash64("doc_id", "text"))
     dealt = own.withColumn("doc_bucket", F.pmod("row_key", F.lit(parts)))
 
-    sent = own.select("row_key", "text").mapInArrow(_send(kind, parts), "bucket long, rows binary, key_high binary, key_low binary, row_step binary, nth binary")
+    sent = own.select("row_key", "text").mapInArrow(_send(kind, buckets), "bucket long, rows binary, key binary, row_step binary, nth binary")
     met = sent.groupBy("bucket").applyInArrow(_meet(parts), "doc_bucket long, rows binary, row binary, nth binary")
 
-    splitters = _splitters(own, kind, parts)
+    splitters = _splitters(own, kind, buckets)
     around = dealt.groupBy("doc_bucket").cogroup(met.groupBy("doc_bucket")).applyInArrow(
         _surround(kind, splitters), "bucket long, body binary, left binary, size binary, rows binary, ids binary, row binary, context binary, place binary"
     )
