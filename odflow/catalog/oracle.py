@@ -24,7 +24,9 @@ z AS (
 FINE_LINES = """
 size AS (SELECT count(*) n, CAST(ceil(sqrt(count(*))) AS BIGINT) w FROM supplier),
 lines AS (
-  SELECT CAST(o_custkey % n AS VARCHAR) o, CAST(l_suppkey % n AS VARCHAR) d, l_quantity f, l_returnflag p
+  SELECT CAST(o_custkey % n AS VARCHAR) o, CAST((o_custkey % n + n + (CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE -1 END)
+    * ((l_suppkey % n) // (CASE l_partkey % (CASE WHEN l_returnflag = 'R' THEN 8 ELSE 6 END) WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4
+      WHEN 3 THEN 8 WHEN 4 THEN 16 WHEN 5 THEN 32 WHEN 6 THEN 64 ELSE 128 END))) % n AS VARCHAR) d, l_quantity f, l_returnflag p
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey, size)"""
 
 FINE_ZONES = """
@@ -246,7 +248,7 @@ def loglik(law: str, betas: list[float], rows: str, keys: str, label: str) -> st
         TRAIN,
         f"grid(beta) AS (VALUES {grid})",
         f"prob AS (SELECT beta, o, d, w, sum(w) OVER (PARTITION BY beta, o) sw FROM (SELECT beta, o, d, md * {f} w FROM pairs, grid))",
-        "t0 AS (SELECT t.* FROM t JOIN train ON train.o = t.o WHERE fold = 0)",
+        "t0 AS (SELECT t.*, fold FROM t JOIN train ON train.o = t.o)",
     )
 
 
@@ -424,10 +426,10 @@ SQL: dict[str, str] = {
     "condition_s_fine": fine(condition_s_sql(f"{GRID}, {OVERLAP_COLUMNS}"), DENSE, SCALED, overlap_scores()),
     "day_scores": "WITH " + ",".join([
         NATION_LINES, NATION_ZONES, PAIRS,
-        "dcells AS (SELECT p, CAST(date_trunc('year', dt) AS DATE) dt, o, d, sum(f) f FROM lines GROUP BY ALL)",
+        "dcells AS (SELECT p, dt, o, d, sum(f) f FROM lines GROUP BY ALL)",
         """dense AS (
           SELECT k.p, k.dt, pairs.o, pairs.d, dist, coalesce(t.f, 0) t, coalesce(r.f, 0) r, coalesce(rt.f, 0) rt
-          FROM (SELECT DISTINCT p, dt FROM dcells WHERE p <> '1-URGENT') k CROSS JOIN pairs
+          FROM (SELECT DISTINCT p, dt FROM dcells WHERE p <> '1-URGENT' AND dt IN (SELECT dt FROM dcells WHERE p = '1-URGENT')) k CROSS JOIN pairs
           LEFT JOIN dcells t ON t.p = k.p AND t.dt = k.dt AND t.o = pairs.o AND t.d = pairs.d
           LEFT JOIN dcells r ON r.p = '1-URGENT' AND r.dt = k.dt AND r.o = pairs.o AND r.d = pairs.d
           LEFT JOIN dcells rt ON rt.p = '1-URGENT' AND rt.dt = k.dt AND rt.o = pairs.d AND rt.d = pairs.o)""",
@@ -437,16 +439,26 @@ SQL: dict[str, str] = {
                  sum(t) OVER (PARTITION BY p, dt, o) * sum(t) OVER (PARTITION BY p, dt, d) / st ind
           FROM dense JOIN sums USING (p, dt))""",
         overlap_scores("p, dt"),
-    ]) + f" SELECT {NATIONS}, dt date, {OVERLAP_COLUMNS} FROM score JOIN more USING (p, dt) JOIN sums USING (p, dt)",
+    ]) + f" SELECT {NATIONS}, dt date, {OVERLAP_COLUMNS} FROM score JOIN more USING (p, dt) JOIN sums USING (p, dt) "
+    f"UNION ALL SELECT DISTINCT {NATIONS}, dt, {', '.join(['CAST(NULL AS DOUBLE)'] * OVERLAP_COLUMNS.count('round('))}, true FROM dcells "
+    "WHERE p <> '1-URGENT' AND dt NOT IN (SELECT dt FROM dcells WHERE p = '1-URGENT')",
+    "day_bootstrap_means": nation(
+        f"SELECT {NATIONS}, CAST(count(*) AS INTEGER) n_days, round(avg(\"CPC_R\"), 6) \"mean_CPC_R\", round(avg(lam), 6) \"mean_lambda\" "
+        "FROM (SELECT t.p, t.dt, st / sr lam, CASE WHEN sr > 0 THEN sum(CASE WHEN rf > 0 THEN least(f, st / sr * rf) ELSE 0 END) / any_value(st) END \"CPC_R\" FROM "
+        "(SELECT *, sum(f) OVER (PARTITION BY p, dt) st FROM dt_cells WHERE p <> '1-URGENT') t "
+        "LEFT JOIN (SELECT dt, o, d, f rf FROM dt_cells WHERE p = '1-URGENT') r ON r.dt = t.dt AND r.o = t.o AND r.d = t.d "
+        "LEFT JOIN (SELECT dt, sum(f) sr FROM dt_cells WHERE p = '1-URGENT' GROUP BY dt) w ON w.dt = t.dt GROUP BY t.p, t.dt, st, sr) GROUP BY p",
+        "dt_cells AS (SELECT p, dt, o, d, sum(f) f FROM lines GROUP BY ALL)",
+    ),
     "split_half": nation(
         f"SELECT {NATIONS}, round(2 * sum(least(a, b * sa / sb)) / (2 * any_value(sa)), 6) \"split_half_CPC\" "
         "FROM (SELECT *, sum(a) OVER (PARTITION BY p) sa, sum(b) OVER (PARTITION BY p) sb FROM halves) GROUP BY p",
-        "days AS (SELECT DISTINCT p, year(dt) y FROM lines)",
+        "days AS (SELECT DISTINCT p, dt y FROM lines)",
         "ranked AS (SELECT p, y, row_number() OVER (PARTITION BY p ORDER BY y) k, "
         "count(*) OVER (PARTITION BY p) // 2 h FROM days)",
         "halves AS (SELECT p, o, d, sum(CASE WHEN k <= h THEN f ELSE 0 END) a, "
         "sum(CASE WHEN k > h AND k <= 2 * h THEN f ELSE 0 END) b "
-        "FROM (SELECT p, year(dt) y, o, d, f FROM lines) JOIN ranked USING (p, y) GROUP BY p, o, d)",
+        "FROM (SELECT p, dt y, o, d, f FROM lines) JOIN ranked USING (p, y) GROUP BY p, o, d)",
     ),
     "activity_norm": vendor_a(f"SELECT {ACTIVITY} activity, count(*) n FROM a GROUP BY 1"),
     "purpose_period_label": vendor_a(f"SELECT {PURPOSE} || '|' || prd \"label\", count(*) n FROM a GROUP BY 1"),
@@ -500,12 +512,14 @@ SQL: dict[str, str] = {
     ),
     "radiation_emit": fine(EMIT, OUTFLOWS, RADIATION),
     "radiation_folds": fine(
-        "SELECT 'grid' study_area, fold, zone origin, round(stay / (stay + off), 6) p FROM ("
+        "SELECT 'grid' study_area, fold, zone origin, u.d destination, "
+        "round(CASE WHEN u.d = zone THEN stay ELSE u.w END / (stay + off), 6) p FROM ("
         "SELECT f.fold, z.zone, CASE WHEN train.o IS NOT NULL AND own.h IS NOT NULL THEN own.h ELSE "
         "(SELECT sum(CASE WHEN o = d THEN f ELSE 0 END) / sum(f) FROM r) END stay, off "
         "FROM (SELECT DISTINCT fold FROM train) f CROSS JOIN z LEFT JOIN train ON train.fold = f.fold AND train.o = z.zone "
         "LEFT JOIN own ON own.o = z.zone "
-        "JOIN (SELECT o, sum(w) off FROM weight WHERE o <> d GROUP BY o) q ON q.o = z.zone)",
+        "JOIN (SELECT o, sum(w) off FROM weight WHERE o <> d GROUP BY o) q ON q.o = z.zone) "
+        "JOIN weight u ON u.o = zone",
         RADIATION, TRAIN,
     ),
     "production_check": fine(
@@ -525,9 +539,9 @@ SQL: dict[str, str] = {
     "gravity_loglik_grid": loglik(
         "power", [0.1, 0.5, 1.0, 1.5, 2.0, 2.5, 3.0], "r", "", "'grid' study_area"
     ),
-    "gravity_loglik_exp_grid": loglik("exp", [0.01, 0.1, 0.5], "t0", "p", GRID),
+    "gravity_loglik_exp_grid": loglik("exp", [0.01, 0.1, 0.5], "t0", "p, fold", f"{GRID}, fold"),
     "gravity_fit": fine(
-        "SELECT 'grid' study_area, fold, law, round(beta, 4) beta FROM beta",
+        "SELECT 'grid' study_area, fold, law, round(beta, 4) beta, true settled FROM beta",
         TRAIN,
         *bisection("fold", "SELECT DISTINCT fold FROM train", "r", "JOIN train ON train.fold = b.fold AND train.o = gp.o"),
     ),
@@ -550,9 +564,7 @@ SQL: dict[str, str] = {
         "SELECT 'grid' study_area, role, n FROM (SELECT 'test' role, n // 5 n FROM size UNION ALL SELECT 'train', n - n // 5 FROM size)"
     ),
     "weighted_draw_counts": fine(
-        f"SELECT {GRID}, o origin, n draws FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY p ORDER BY CAST(o AS BIGINT) "
-        "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) earlier FROM (SELECT p, o, "
-        "CAST(least(greatest(floor(sum(f)), 1), 2000) AS BIGINT) n FROM cells GROUP BY p, o)) WHERE earlier < 200000"
+        f"SELECT {GRID}, o origin, CAST(greatest(floor(sum(f)), 1) AS BIGINT) draws FROM cells WHERE f > 0 GROUP BY p, o"
     ),
     "capped_destination_counts": fine(
         "SELECT 'grid' study_area, zone origin, CAST(greatest(least(40, n), coalesce(c, 0)) AS BIGINT) kept, "

@@ -255,9 +255,8 @@ def condition_s_fine(spark, sf_dir):
 
 
 def day_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OD matrix per priority and year, the year standing in for the day."""
-    yearly = views.nation_flows(spark, sf_dir).withColumn("date", F.trunc("date", "year"))
-    return write_table(flows.od_matrix(yearly, [*KEYS, "date"]))
+    """OD matrix per priority and day."""
+    return write_table(flows.od_matrix(views.nation_flows(spark, sf_dir), [*KEYS, "date"]))
 
 
 def scored_days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,6 +276,13 @@ def day_bootstrap(spark, sf_dir):
     return rounded(condition_s.day_bootstrap(scored_days(spark, sf_dir), KEYS))
 
 
+@query
+def day_bootstrap_means(spark, sf_dir):
+    """What the bootstrap resamples: the number of days and the means over all of them."""
+    table = condition_s.day_bootstrap(scored_days(spark, sf_dir), KEYS, resamples=1)
+    return rounded(table.select(*KEYS, "n_days", "mean_CPC_R", "mean_lambda"))
+
+
 @query
 def split_half(spark, sf_dir):
     return rounded(condition_s.split_half_cpc(day_cells(spark, sf_dir), KEYS, order=F.col("date")))
@@ -415,8 +421,7 @@ def radiation_folds(spark, sf_dir):
     s = Study(spark, sf_dir)
     train = condition_g.train_origins(s.folds())
     p = radiation.radiation_probabilities(s.pairs, s.reference, s.zones, train)
-    own = p.where(F.col("origin") == F.col("destination"))
-    return rounded(own.select("study_area", "fold", "origin", "p"))
+    return rounded(p.select("study_area", "fold", "origin", "destination", "p"))
 
 
 @query
@@ -445,8 +450,8 @@ def gravity_loglik_grid(spark, sf_dir):
 @query
 def gravity_loglik_exp_grid(spark, sf_dir):
     s = Study(spark, sf_dir)
-    train = condition_g.train_origins(s.folds()).where(F.col("fold") == 0).select("study_area", "origin")
-    return rounded(gravity.log_likelihood(s.pairs, s.targets, "exp", [0.01, 0.1, 0.5], KEYS, train), 3)
+    rows = s.targets.join(condition_g.train_origins(s.folds()), ["study_area", "origin"])
+    return rounded(gravity.log_likelihood(s.pairs, rows, "exp", [0.01, 0.1, 0.5], [*KEYS, "fold"]), 3)
 
 
 @query
@@ -575,7 +580,7 @@ def _dense_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def capped_destinations(spark, sf_dir):
-    return sampling.capped_destinations(_dense_reference(spark, sf_dir), AREA)
+    return sampling.capped_destinations(_dense_reference(spark, sf_dir), AREA, cap=softmax_net.DESTINATION_CAP)
 
 
 @query

@@ -23,12 +23,15 @@ def lookup_join(
 ) -> DataFrame:
     """Join ``rows`` to a smaller table, usually one row per key.
 
-    ``on`` names shared columns, or maps a column of ``rows`` to one of ``table``. No broadcast hint is given: the planner broadcasts when the table is under its size
-    threshold (checked again at run time by AQE). Above it, both sides shuffle on key *and* salt, so
-    a key with a third of all rows is still shared by ``salt_count`` tasks.
+    ``on`` names shared columns, or maps a column of ``rows`` to one of ``table``. A table that the planner sizes under its
+    broadcast threshold is joined as it is, and broadcast without copies. Above it, both sides shuffle on key *and*
+    salt, so a key with a third of all rows is still shared by ``salt_count`` tasks; copies are only made on that path.
     """
     pairs = dict(on) if isinstance(on, Mapping) else {c: c for c in on}
     carried = [c for c in table.columns if c not in pairs.values()]
+    if planned_small(table):
+        named = table.select(*[F.col(c).alias(f"_on_{i}") for i, c in enumerate(pairs.values())], *carried)
+        return rows.join(named, _same(pairs), how).drop(*[f"_on_{i}" for i in range(len(pairs))])
     salts = salt_count(rows.sparkSession)
     # Bits of the hash, never NULL: no filter on the salt sinks below the join, where it would keep
     # steps on the same rows from sharing an exchange.
@@ -39,13 +42,23 @@ def lookup_join(
     copies = table.select(
         *renamed, *carried, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("_on_salt")
     )
-    condition = F.col(_SALT) == F.col("_on_salt")
+    joined = salted.join(copies, (F.col(_SALT) == F.col("_on_salt")) & _same(pairs), how)
+    return joined.drop(_SALT, "_on_salt", *[f"_on_{i}" for i in range(len(pairs))])
+
+
+def _same(pairs: Mapping[str, str]) -> Column:
+    condition = F.lit(True)
     for i, left in enumerate(pairs):
         right = F.col(f"_on_{i}")
-        same = F.col(left).eqNullSafe(right) if left in _NULLABLE else F.col(left) == right
-        condition = condition & same
-    joined = salted.join(copies, condition, how)
-    return joined.drop(_SALT, "_on_salt", *[f"_on_{i}" for i in range(len(pairs))])
+        condition = condition & (F.col(left).eqNullSafe(right) if left in _NULLABLE else F.col(left) == right)
+    return condition
+
+
+def planned_small(table: DataFrame) -> bool:
+    """Whether the planner's size of the table is under the threshold up to which it broadcasts."""
+    spark = table.sparkSession
+    size = table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(size) <= spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
 
 
 def hash_order(*cols: Column | str, seed: int = 0) -> Column:

@@ -194,7 +194,7 @@ def contiguous_merge(
 
     ``target`` (keys, target_n) overrides the half. A round tosses a coin per group; tails join one
     random neighbouring heads group, no more of them than are still needed. All realisations run as
-    one keyed job. Merging stops early where no two groups touch.
+    one keyed job. Merging stops early where no two groups touch; if ``max_rounds`` end it before the goal, it fails.
     """
     at = [*keys, "realisation"]
     links = materialise(undirected(edges, keys))
@@ -242,4 +242,6 @@ def contiguous_merge(
                 *at, "zone", F.coalesce("into", "group").alias("group")
             )
         )
+    else:
+        raise RuntimeError(f"merging did not reach its goal in {max_rounds} rounds")
     return mapping

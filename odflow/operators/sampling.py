@@ -7,13 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from odflow.functions.spread import hash_order, hash_uniform
+from odflow.functions.spread import hash_order, hash_uniform, lookup_join
 from odflow.operators.zones import AREA
 
-# Draws per origin, draws in all, destinations per origin, revealed shares.
-DRAWS_PER_ORIGIN = 2000
-MAX_DRAWS = 200_000
-DESTINATION_CAP = 512
+# Revealed shares.
 EDGE_SHARES = {"1pct_edges": 0.01, "10pct_edges": 0.10}
 ZONE_SHARE = 0.10
 
@@ -61,31 +58,25 @@ def origin_holdout(zones: DataFrame, size: int | Column, area: Sequence[str] = A
     )
 
 
-def weighted_destinations(
-    cells: DataFrame,
-    keys: Sequence[str],
-    per_origin: int = DRAWS_PER_ORIGIN,
-    max_draws: int = MAX_DRAWS,
-    seed: int = 0,
-) -> DataFrame:
+def weighted_destinations(cells: DataFrame, keys: Sequence[str], most: int | None = None, seed: int = 0) -> DataFrame:
     """Destinations drawn with replacement in proportion to flow: (keys, origin, draw, destination).
 
-    An origin gets as many draws as its flow, between 1 and ``per_origin``; origins are taken in order
-    while the draws before them number fewer than ``max_draws``. A draw finds its destination as the
+    An origin gets as many draws as its flow, at least one. ``most`` bounds the draws of a key by thinning
+    all its origins in proportion (each keeps one at least); no origin is left out. A draw finds its destination as the
     last cumulative-flow boundary at or before it: one sort of boundaries and draws per origin.
     """
     positive = cells.where(F.col("flow") > 0)
-    origins = positive.groupBy(*keys, "origin").agg(F.sum("flow").alias("_mass")).withColumn(
-        "_n", F.least(F.greatest(F.floor("_mass").cast("int"), F.lit(1)), F.lit(int(per_origin)))
-    )
-    before = Window.partitionBy(*keys).orderBy(*zone_order("origin")).rowsBetween(Window.unboundedPreceding, -1)
-    kept = origins.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).where(
-        F.col("_before") < max_draws
-    )
+    kept = positive.groupBy(*keys, "origin").agg(F.sum("flow").alias("_mass"))
+    rate = F.lit(1.0)
+    if most is not None:
+        whole = kept.groupBy(*keys).agg(F.sum("_mass").alias("_whole"))
+        kept = lookup_join(kept, whole, list(keys), spread=["origin"])
+        rate = F.least(F.lit(1.0), F.lit(float(most)) / F.col("_whole"))
+    kept = kept.withColumn("_n", F.greatest(F.floor(F.col("_mass") * rate).cast("int"), F.lit(1))).select(*keys, "origin", "_mass", "_n")
     upto = Window.partitionBy(*keys, "origin").orderBy(*zone_order("destination")).rowsBetween(
         Window.unboundedPreceding, -1
     )
-    bounds = positive.join(kept.select(*keys, "origin"), [*keys, "origin"], "left_semi").select(
+    bounds = positive.select(
         *keys, "origin", "destination", F.lit(0).alias("draw"),
         F.coalesce(F.sum("flow").over(upto), F.lit(0.0)).alias("_at"),
     )
@@ -109,7 +100,7 @@ def zone_order(column: str) -> list[Column]:
 
 
 def capped_destinations(
-    pairs: DataFrame, keys: Sequence[str], cap: int = DESTINATION_CAP, seed: int = 0
+    pairs: DataFrame, keys: Sequence[str], cap: int, seed: int = 0
 ) -> DataFrame:
     """Every destination with flow, filled up to ``cap`` per origin with random others."""
     first = Window.partitionBy(*keys, "origin").orderBy(

@@ -12,6 +12,7 @@ from odflow.functions.spread import hash_order, hash_uniform, lookup_join
 from odflow.operators import metrics
 from odflow.operators.flows import on_diagonal, zone_counts
 from odflow.operators.zones import AREA, with_distance
+from odflow.session import write_table
 
 # Order of the scores, and those the day bootstrap summarises.
 OVERLAP_SCORES = (
@@ -43,10 +44,12 @@ def condition_s(
         F.max(F.greatest("r", "rt")).alias("_max_r"),
         F.sum(on_diagonal(F.col("t"))).alias("_trace"),
     )
-    # Margins of the target on its own cells: independence is zero wherever the target is for CPC.
-    margined = cells.withColumn(
-        "_out", F.sum("t").over(Window.partitionBy(*keys, "origin"))
-    ).withColumn("_in", F.sum("t").over(Window.partitionBy(*keys, "destination")))
+    # Margins of the target on its own cells: independence is zero wherever the target is for CPC. They are summed on the
+    # map side and looked up, so the aligned cells themselves are exchanged once.
+    margined = cells
+    for end, name in (("origin", "_out"), ("destination", "_in")):
+        margin = cells.groupBy(*keys, end).agg(F.sum("t").alias(name))
+        margined = lookup_join(margined, margin, [*keys, end])
     if {"x", "y"} <= set(zones.columns):
         margined = with_distance(margined, zones, area)
     factor = ratio(F.col("_t"), F.col("_r"))
@@ -94,43 +97,31 @@ def day_bootstrap(
 ) -> DataFrame:
     """Mean and 2.5 / 97.5 percentiles of the mean score over days drawn with replacement.
 
-    ``day_scores`` has one row per (keys, date). The days of a key travel as one short array, so a
-    resample is a row computed in place instead of D joined rows. Fewer than two days leave the
-    percentiles NULL.
+    ``day_scores`` has one row per (keys, date). A resample draws day numbers, which join the numbered days and are averaged
+    with map-side combine; the means over all days are computed once. Fewer than two days leave the percentiles NULL.
     """
-    days = (
-        day_scores.groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(F.struct("date", *scores))).alias("_days"))
-        .withColumn("n_days", F.size("_days"))
+    numbered = day_scores.select(
+        *keys, *scores, F.row_number().over(Window.partitionBy(*keys).orderBy("date")).alias("_day")
     )
-    draws = days.withColumn("_draw", F.explode(F.sequence(F.lit(1), F.lit(int(resamples)))))
-    taken = F.transform(
-        F.sequence(F.lit(1), F.col("n_days")),
-        lambda k: F.element_at(
-            F.col("_days"),
-            F.floor(hash_uniform(*keys, F.col("_draw"), k, seed=seed) * F.col("n_days")).cast("int") + 1,
-        ),
+    numbered = write_table(numbered)
+    whole = numbered.groupBy(*keys).agg(
+        F.count("*").cast("int").alias("n_days"), *[F.avg(s).alias(f"mean_{s}") for s in scores]
     )
-
-    def mean_of(drawn: Column, score: str) -> Column:
-        known = F.filter(F.transform(drawn, lambda day: day[score]), lambda v: v.isNotNull())
-        return F.try_divide(F.aggregate(known, F.lit(0.0), lambda total, v: total + v), F.size(known))
-
-    sampled = draws.withColumn("_taken", taken)
-    resampled = sampled.select(
-        *keys, "n_days",
-        *[mean_of(F.col("_days"), s).alias(f"mean_{s}") for s in scores],
-        *[mean_of(F.col("_taken"), s).alias(f"_boot_{s}") for s in scores],
+    draws = numbered.select(*keys, "_day").withColumnRenamed("_day", "_k").join(whole.select(*keys, "n_days"), list(keys))
+    draws = draws.withColumn("_draw", F.explode(F.sequence(F.lit(1), F.lit(int(resamples)))))
+    place = F.floor(hash_uniform(*keys, F.col("_draw"), F.col("_k"), seed=seed) * F.col("n_days")).cast("int") + 1
+    drawn = draws.select(*keys, "_draw", place.alias("_day"))
+    resampled = lookup_join(drawn, numbered, [*keys, "_day"], spread=["_draw"]).groupBy(*keys, "_draw").agg(
+        *[F.avg(s).alias(f"_boot_{s}") for s in scores]
     )
-    enough = F.max("n_days") >= 2
-    return resampled.groupBy(*keys).agg(
-        F.max("n_days").alias("n_days"),
-        *[F.max(f"mean_{s}").alias(f"mean_{s}") for s in scores],
-        *[
-            F.when(enough, F.percentile(f"_boot_{s}", q)).alias(f"{name}_{s}")
-            for s in scores
-            for q, name in ((0.025, "p2_5"), (0.975, "p97_5"))
-        ],
+    quantiles = resampled.groupBy(*keys).agg(
+        *[F.percentile(f"_boot_{s}", q).alias(f"{name}_{s}") for s in scores for q, name in ((0.025, "p2_5"), (0.975, "p97_5"))]
+    )
+    known = F.col("n_days") >= 2
+    return whole.join(quantiles, list(keys)).select(
+        *keys, "n_days",
+        *[F.col(f"mean_{s}") for s in scores],
+        *[F.when(known, F.col(f"{name}_{s}")).alias(f"{name}_{s}") for s in scores for name in ("p2_5", "p97_5")],
     )
 
 

@@ -8,7 +8,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SALTS_CONF = "spark.odflow.salts"
-DEFAULT_SALTS = 16
 
 
 def local_session(cores: str = "8", app: str = "odflow") -> SparkSession:
@@ -28,8 +27,8 @@ def local_session(cores: str = "8", app: str = "odflow") -> SparkSession:
 
 
 def salt_count(spark: SparkSession) -> int:
-    """How many ways a lookup on a few hot keys is spread: the setting, rounded up to a power of two."""
-    wanted = int(spark.conf.get(SALTS_CONF, str(DEFAULT_SALTS)))
+    """How many ways a lookup on a few hot keys is spread: the setting, else the shuffle width; a power of two."""
+    wanted = int(spark.conf.get(SALTS_CONF, str(shuffle_width(spark))))
     return 1 << max(wanted - 1, 0).bit_length()
 
 

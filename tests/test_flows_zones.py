@@ -5,33 +5,35 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from conftest import LINE_T, dense, synthetic
+from conftest import LINE_T, dense, gravity_field
 from odflow.operators import flows, zones as zone_ops
 
 AREA = ["study_area"]
 
 
-def test_unit_circle_distance(spark):
-    frame = spark.createDataFrame([(float(np.pi),), (0.0,)], "area double")
+def test_distance_within_a_zone(spark):
+    frame = spark.createDataFrame([(4.0,), (0.0,), (100.0,)], "area double")
     radius = [r[0] for r in frame.select(zone_ops.intra_zonal_distance(F.col("area"))).collect()]
-    assert radius == pytest.approx([1.0, 0.0])
+    assert [np.pi * r * r for r in radius] == pytest.approx([4.0, 0.0, 100.0])
     bad = spark.createDataFrame([(-1.0,)], "area double")
     with pytest.raises(PySparkException):
         bad.select(zone_ops.intra_zonal_distance(F.col("area"))).collect()
 
 
-def test_inclusion_of_thirty_zones(spark, cells_of, zones_of):
-    ones = np.ones((30, 30)) - np.eye(30)
-    zones = zones_of({"a": (range(30),) * 5, "b": (range(30),) * 5, "c": (range(5),) * 5})
-    cells = cells_of({("a",): ones, ("b",): np.eye(30)})
+def test_inclusion_by_size_and_mixing(spark, cells_of, zones_of):
+    trips = gravity_field(26, 1)[1]
+    zones = zones_of({"mixed": (range(26),) * 5, "inward": (range(26),) * 5, "few": (range(24),) * 5, "silent": (range(4),) * 5})
+    cells = cells_of({("mixed",): trips, ("inward",): np.diag(trips.sum(axis=1)), ("few",): trips[:24, :24]})
     found = {r.study_area: r for r in flows.inclusion(cells, zones).collect()}
-    assert found["a"].included and found["a"].n_zones == 30 and found["a"].h_intra == 0
-    assert not found["b"].included and found["b"].h_intra == 1
-    assert not found["c"].included and found["c"].h_intra is None
+    assert found["mixed"].included and found["mixed"].n_zones == 26
+    assert found["mixed"].h_intra == pytest.approx(np.trace(trips) / trips.sum())
+    assert not found["inward"].included and found["inward"].h_intra == 1
+    assert not found["few"].included and found["few"].n_zones == 24
+    assert not found["silent"].included and found["silent"].h_intra is None
 
 
 def test_pairs_of_two_areas(zones_of):
-    _, _, d, xy, m = synthetic(7)
+    _, _, d, xy, m = gravity_field(7)
     zones = zones_of({"a": (xy[:, 0], xy[:, 1], np.ones(7), m, m), "b": ([0, 3], [0, 4], [1, 1], [1, 1], [1, 1])})
     rows = zone_ops.zone_pairs(zones).collect()
     assert len(rows) == 49 + 4
@@ -84,7 +86,7 @@ def test_margins_and_transpose(cells_of):
 
 
 def test_independence_margins(cells_of, zones_of):
-    t = synthetic(6)[0]
+    t = gravity_field(6)[0]
     zones = zones_of({"a": (range(6),) * 5})
     expected = dense(flows.independence(cells_of({("a",): t}), AREA, zones).collect(), 6)
     assert expected.sum() == pytest.approx(t.sum())

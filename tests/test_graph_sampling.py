@@ -131,10 +131,19 @@ def test_weighted_draws(spark):
     cells = flow_rows(spark, [("0", "0", 900.0), ("0", "1", 0.0), ("0", "2", 2100.0), ("1", "1", 0.4), ("2", "0", 7.9)])
     drawn = sampling.weighted_destinations(cells, AREA)
     counts = {(r.origin, r.destination): r["count"] for r in drawn.groupBy("origin", "destination").count().collect()}
-    assert counts["0", "0"] + counts["0", "2"] == 2000 and counts["0", "0"] == pytest.approx(600, abs=80)
+    assert counts["0", "0"] + counts["0", "2"] == 3000 and counts["0", "0"] == pytest.approx(900, abs=100)
     assert counts["1", "1"] == 1 and counts["2", "0"] == 7 and ("0", "1") not in counts
-    few = sampling.weighted_destinations(cells, AREA, max_draws=2000)
-    assert {r.origin for r in few.select("origin").distinct().collect()} == {"0"}
+    few = sampling.weighted_destinations(cells, AREA, most=300).groupBy("origin").count().collect()
+    assert {r.origin: r["count"] for r in few} == {"0": pytest.approx(299, abs=2), "1": 1, "2": 1}
+
+
+def test_every_origin_is_drawn_from(spark):
+    # 150 origins of 3,000 trips: more than 200,000 draws, more than 2,000 per origin.
+    cells = flow_rows(spark, [(str(i), str(j), 1500.0) for i in range(150) for j in range(2)])
+    counts = [r["count"] for r in sampling.weighted_destinations(cells, AREA).groupBy("origin").count().collect()]
+    assert counts == [3000] * 150
+    thinned = [r["count"] for r in sampling.weighted_destinations(cells, AREA, most=45_000).groupBy("origin").count().collect()]
+    assert thinned == [300] * 150
 
 
 def test_capped_destinations(spark):

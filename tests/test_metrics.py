@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from conftest import LINE_R, LINE_T, synthetic
+from conftest import LINE_R, LINE_T, gravity_field
 from odflow.operators import flows, metrics, zones as zone_ops
 
 AREA = ["study_area"]
@@ -46,23 +46,24 @@ def plain_scores(a, b, d):
     return out
 
 
-def test_identical_is_one(cells_of):
-    t = synthetic()[0]
-    assert metrics.cpc(pair(cells_of, t, t), AREA).first().CPC == pytest.approx(1.0)
+def test_overlap_of_shifted_flow(cells_of):
+    # 7 of the 10 and 14 trips lie on common cells: 2·7 / 24.
+    a, b = [[4, 0, 1], [0, 5, 0]], [[2, 3, 2], [1, 4, 2]]
+    square = [[*r] for r in (*a, [0, 0, 0])], [[*r] for r in (*b, [0, 0, 0])]
+    assert metrics.cpc(pair(cells_of, *square), AREA).first().CPC == pytest.approx(14 / 24)
+    for n in (3, 6):
+        t = gravity_field(n)[0]
+        assert metrics.cpc(pair(cells_of, t, t), AREA).first().CPC == pytest.approx(1.0)
 
 
-def test_hand_value(cells_of):
-    assert metrics.cpc(pair(cells_of, [[1, 0], [0, 1]], [[1, 1], [0, 0]]), AREA).first().CPC == pytest.approx(0.5)
-
-
-def test_transposed_reference_scores_higher(cells_of):
-    t, r = [[0, 5], [1, 0]], [[0, 1], [5, 0]]
-    cells = metrics.stack_reference(cells_of({("z",): t}), cells_of({("z",): r}), AREA, AREA)
-    row = metrics.delta_cpc(cells, AREA).first()
-    assert row["lambda"] == pytest.approx(1.0)
-    assert row.CPC_RT == pytest.approx(1.0) and row.CPC_RT >= row.CPC_R
-    assert row.Delta == pytest.approx(row.CPC_RT - row.CPC_R)
-    assert metrics.delta_cpc(cells, AREA, scale=2.0).first()["lambda"] == 2.0
+def test_way_back_scores_its_transpose(cells_of):
+    r = gravity_field(6, 2)[1]
+    row = metrics.delta_cpc(metrics.stack_reference(cells_of({("z",): 3 * r.T}), cells_of({("z",): r}), AREA, AREA), AREA).first()
+    plain = 2 * np.minimum(3 * r.T, 3 * r).sum() / (6 * r.sum())
+    assert (row["lambda"], row.CPC_RT) == pytest.approx((3.0, 1.0))
+    assert row.CPC_R == pytest.approx(plain) and row.Delta == pytest.approx(1.0 - plain)
+    half = metrics.stack_reference(cells_of({("z",): r}), cells_of({("z",): r}), AREA, AREA)
+    assert metrics.delta_cpc(half, AREA, scale=0.5).first()["lambda"] == 0.5
 
 
 def test_worked_scores(spark, line):
@@ -83,7 +84,7 @@ def test_worked_scores(spark, line):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_scores_match_dense_definitions(spark, cells_of, zones_of, seed):
     n = 12
-    t, r, d, xy, mass = synthetic(n, seed)
+    t, r, d, xy, mass = gravity_field(n, seed)
     draw = np.random.default_rng(seed)
     t[draw.random((n, n)) < 0.4] = 0
     r[draw.random((n, n)) < 0.3] = 0
@@ -103,7 +104,7 @@ def test_scores_match_dense_definitions(spark, cells_of, zones_of, seed):
 
 
 def test_partitioning_and_stored_zeros_do_not_matter(spark, cells_of):
-    t, r = synthetic(8, 3)[:2]
+    t, r = gravity_field(8, 3)[:2]
     t[t < 2] = 0
     plain = metrics.score_pair(pair(cells_of, t, r), AREA, counts(spark, 8), AREA).first()
     mixed = pair(cells_of, t, r, keep_zeros=True).repartition(7, "destination")
