@@ -776,15 +776,18 @@ def report_table5(spark, sf_dir):
     return rounded(report.overlap_table(scores, "table5_additional"))
 
 
-def _plain_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of the two laws with fixed parameters."""
+def _plain_laws(spark: SparkSession, sf_dir: str, hold_out: bool) -> DataFrame:
+    """Scores per fold of the laws without random parts, fitted on the training origins (all of them without hold-out)."""
     s = Study(spark, sf_dir)
+    train = condition_g.train_origins(s.folds()) if hold_out else s.everyone
+    betas = gravity.fit_gravity(s.pairs, s.reference, AREA, ("power",), train)
+    folds = train.select("study_area", "fold").distinct()
     laws = {
-        "Gravity_power": gravity.gravity_probabilities(s.pairs, "power", 1.0),
-        "ClosedFormGravity": gravity.closed_form_probabilities(s.pairs),
-        "Radiation": radiation.radiation_probabilities(s.pairs, s.reference, s.zones),
+        "Gravity_power": gravity.fitted_probabilities(s.pairs, betas),
+        "ClosedFormGravity": lookup_join(gravity.closed_form_probabilities(s.pairs), folds, AREA),
+        "Radiation": radiation.radiation_probabilities(s.pairs, s.reference, s.zones, train),
     }
-    at = [*KEYS, "law_model"]
+    at = [*KEYS, "fold", "law_model"]
     emitted = None
     for name, p in laws.items():
         part = emission.emit(p.withColumn("law_model", F.lit(name)), s.outflows, at)
@@ -794,12 +797,12 @@ def _plain_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def report_table6(spark, sf_dir):
-    return rounded(report.generator_table(_plain_laws(spark, sf_dir)))
+    return rounded(report.generator_table(_plain_laws(spark, sf_dir, True)))
 
 
 @query
 def report_table7(spark, sf_dir):
-    return rounded(report.generator_table(_plain_laws(spark, sf_dir), "table7_panel_no_holdout"))
+    return rounded(report.generator_table(_plain_laws(spark, sf_dir, False), "table7_panel_no_holdout"))
 
 
 @query

@@ -16,7 +16,7 @@ from odflow.operators.generators.gravity import (
     fit_gravity,
     fitted_probabilities,
 )
-from odflow.operators.generators.ipf import ipf_emit, train_columns
+from odflow.operators.generators.ipf import ipf_emit_reported, train_columns
 from odflow.operators.generators.radiation import radiation_probabilities
 from odflow.operators.zones import AREA, zone_pairs
 from odflow.session import write_table
@@ -94,10 +94,11 @@ def emit_generators(
     mechanism: bool = False,
     fewshot: bool = False,
     max_cycles: int = 1000,
-) -> tuple[DataFrame, DataFrame]:
-    """Emitted flows of the laws that depend on the fold, and of those that do not.
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Emitted flows of the laws that depend on the fold, and of those that do not, and both laws' marks.
 
-    Both are long tables keyed by (keys[, fold], law_model).
+    Flows are long tables keyed by (keys[, fold], law_model); marks (keys[, fold], law_model, settled) say for the laws that are
+    searched for whether the search ended by itself.
     """
     from odflow.operators.generators import learned, softmax_net
 
@@ -113,33 +114,39 @@ def emit_generators(
     )
     oracle_betas = fit_gravity(pairs, targets, keys, ("power",), train, area=area)
     oracle = fitted_probabilities(pairs, oracle_betas, area).withColumn("law_model", F.lit("Oracle"))
-    meta = learned.meta_probabilities(pairs, reference, train, area).withColumn(
+    # Meta-gravity is the prior of the residual laws too: fitted once, written, shared.
+    prior = write_table(learned.meta_flows(pairs, reference, train, area))
+    meta = learned.meta_probabilities(pairs, reference, train, area, prior).withColumn(
         "law_model", F.lit("meta-Gravity")
     )
     parts = [emit(p, outflows, by_fold, area) for p in (gravity, radiation, oracle, meta)]
 
-    by_row = ipf_emit(pairs, reference, outflows, column_sums(targets, keys), zones, keys, area, max_cycles=max_cycles)
+    by_row, row_ended = ipf_emit_reported(
+        pairs, reference, outflows, column_sums(targets, keys), zones, keys, area, max_cycles=max_cycles
+    )
     steady = [by_row.withColumn("law_model", F.lit("IPF_G-row"))]
     columns = train_columns(reference, outflows, zones, keys, train, area)
     folds = train.select(*area, "fold").distinct()
     fold_outflows = outflows.join(folds, list(area))
-    parts.append(
-        ipf_emit(
-            pairs, reference, fold_outflows, columns, zones, [*keys, "fold"], area, max_cycles=max_cycles
-        ).withColumn("law_model", F.lit("IPF_G-row-traincol"))
+    by_column, column_ended = ipf_emit_reported(
+        pairs, reference, fold_outflows, columns, zones, [*keys, "fold"], area, max_cycles=max_cycles
     )
+    parts.append(by_column.withColumn("law_model", F.lit("IPF_G-row-traincol")))
     if mechanism:
         closed = closed_form_probabilities(pairs, keys=area).withColumn("law_model", F.lit("ClosedFormGravity"))
         steady.append(emit(closed, outflows, once, area))
+        residual = learned.residual_probabilities(pairs, reference, train, area, prior)
         laws = {
             "DeepGravity": softmax_net.net_probabilities(pairs, reference, train, area),
             "RandomForest": learned.forest_probabilities(pairs, reference, train, area),
-            "neuroGravity_zeroshot": learned.residual_probabilities(pairs, reference, train, area),
+            "neuroGravity_zeroshot": residual,
         }
         parts += [emit(p.withColumn("law_model", F.lit(n)), outflows, by_fold, area) for n, p in laws.items()]
         if fewshot:
             for mask in FEWSHOT_MASKS:
-                p = learned.fewshot_probabilities(pairs, reference, targets, zones, train, keys, mask, area)
+                p = learned.fewshot_probabilities(
+                    pairs, reference, targets, zones, train, keys, mask, area, prior=prior, residual=residual
+                )
                 parts.append(emit(p.withColumn("law_model", F.lit(f"neuroGravity_{mask}")), outflows, by_fold, area))
 
     def stacked(tables: list[DataFrame], columns: list[str]) -> DataFrame:
@@ -149,7 +156,15 @@ def emit_generators(
             whole = whole.unionByName(more)
         return whole
 
-    return stacked(parts, by_fold), stacked(steady, once)
+    searched = lookup_join(
+        betas.select(*area, "fold", named[F.col("law")].alias("law_model"), "settled"),
+        targets.select(*keys).distinct(), list(area), spread=["law_model"],
+    )
+    marks = searched.select(*by_fold, "settled")
+    marks = marks.unionByName(oracle_betas.select(*keys, "fold", F.lit("Oracle").alias("law_model"), "settled"))
+    ended = column_ended.select(*keys, "fold", F.lit("IPF_G-row-traincol").alias("law_model"), F.col("converged").alias("settled"))
+    steady_marks = row_ended.select(*keys, F.lit("IPF_G-row").alias("law_model"), F.col("converged").alias("settled"))
+    return stacked(parts, by_fold), stacked(steady, once), marks.unionByName(ended), steady_marks
 
 
 def run_generators(
@@ -163,19 +178,26 @@ def run_generators(
     fewshot: bool = False,
     max_cycles: int = 1000,
 ) -> DataFrame:
-    """Scores per (keys, fold, law_model) over whole matrices.
+    """Scores per (keys, fold, law_model) over whole matrices, and ``settled``: false where a fit was cut off.
 
     The fold is a key of one job, not a loop. Laws that ignore the training origins are scored once
     and listed under every fold.
     """
     pairs = generator_pairs(zones, area)
     origins = all_train(zones, area) if train is None else train
-    per_fold, steady = emit_generators(
+    per_fold, steady, marks, steady_marks = emit_generators(
         pairs, targets, reference, zones, keys, origins, area, mechanism, fewshot, max_cycles
     )
     # Emissions are scored in three passes; the written copy saves fitting models again.
     per_fold, steady = write_table(per_fold), write_table(steady)
     by_fold = score_condition_g(per_fold, targets, zones, [*keys, "fold", "law_model"], keys, area)
+    by_fold = _marked(by_fold, marks, [*keys, "fold", "law_model"])
     once = score_condition_g(steady, targets, zones, [*keys, "law_model"], keys, area)
+    once = _marked(once, steady_marks, [*keys, "law_model"])
     repeated = once.join(origins.select(*area, "fold").distinct(), list(area))
     return by_fold.unionByName(repeated.select(by_fold.columns))
+
+
+def _marked(scores: DataFrame, marks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    joined = scores.join(write_table(marks), list(keys), "left")
+    return joined.withColumn("settled", F.coalesce("settled", F.lit(True)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,14 +60,19 @@ def materialise(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
-def write_table(frame: DataFrame) -> DataFrame:
+def table_path(spark: SparkSession) -> str:
+    """A new folder in the shared one."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+
+
+def write_table(frame: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Write the frame as a Parquet table in the shared folder and continue from the written copy.
 
     For tables that several later steps read: they prune columns, and joins know the true size, so the
-    planner broadcasts a copy under its threshold and shuffles a larger one.
+    planner broadcasts a copy under its threshold and shuffles a larger one. ``by`` lays the table out by key, so that
+    reads of one key prune the others.
     """
-    spark = frame.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    path = table_path(frame.sparkSession)
+    (frame.write.partitionBy(*by) if by else frame.write).parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
