@@ -363,6 +363,23 @@ NEAR = "abs(a.x - b.x) <= 2 AND abs(a.y - b.y) <= 2 AND a.zone <> b.zone"
 
 SQL: dict[str, str] = {
     "read_raw": "SELECT event_type, count(*) n, round(sum(value), 2) total FROM events GROUP BY event_type",
+    "partitions_round_trip": nation(
+        f"SELECT {NATIONS}, o origin, d destination, sum(f) flow, count(*) n FROM lines GROUP BY p, o, d"
+    ),
+    "adjacency_round_trip": nation(
+        "SELECT 'nations' study_area, a.zone src, b.zone dst FROM z a JOIN z b "
+        "ON abs(a.x - b.x) <= 10 AND abs(a.y - b.y) <= 10 AND a.zone <> b.zone"
+    ),
+    "mapping_round_trip": nation("SELECT 'nations' study_area, zone \"zone\", grp \"group\" FROM z"),
+    "blocks_round_trip": nation(
+        "SELECT 'nations' study_area, f.block fold, b.zone \"zone\", CASE WHEN b.block = f.block THEN 'test' ELSE 'train' END role "
+        "FROM nb b, (SELECT DISTINCT block FROM nb) f",
+        "nb AS (SELECT zone, CAST(x / 10 AS INTEGER) block FROM z)",
+    ),
+    "scores_round_trip": nation(f'SELECT {NATIONS}, round(cpc, 6) "CPC" FROM score', DENSE, PLAIN_AB, scores()),
+    "contiguous_merge_connected": fine(
+        "SELECT 'grid' study_area, v.k realisation, n // 2 n_blocks, n // 2 n_connected FROM size, (VALUES (0), (1), (2)) v(k)"
+    ),
     "flow_schema": vendor_a(
         "SELECT origen origin, destino destination, CASE WHEN abs(flow) < 1e-6 THEN 0 ELSE flow END flow, "
         "'raw' \"partition\", date FROM a"

@@ -14,7 +14,7 @@ from odflow.operators import flows, graph, metrics, sampling, zones as zone_ops
 from odflow.operators.generators import emission, gravity, ipf, learned, radiation, softmax_net
 from odflow.plans import condition_g, condition_s, report, scale
 from odflow.schema import conform_flows
-from odflow.session import materialise, write_table
+from odflow.session import materialise, table_path, write_table
 from odflow.sources import files, product_a, product_b
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,6 +95,52 @@ def read_raw(spark, sf_dir):
     return raw.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
+@query
+def partitions_round_trip(spark, sf_dir):
+    """Flows written by area and partition, read back and summed."""
+    path = table_path(spark)
+    files.write_partitions(views.nation_flows(spark, sf_dir), path)
+    return files.read_partitions(spark, path).groupBy(*KEYS, "origin", "destination").agg(F.sum("flow").alias("flow"), F.count("*").alias("n"))
+
+
+def _written_json(document: DataFrame) -> str:
+    """A document of one row, such as the graph files of an area are."""
+    path = table_path(document.sparkSession)
+    document.write.text(path)
+    return path
+
+
+@query
+def adjacency_round_trip(spark, sf_dir):
+    near = views.queen_edges(views.nation_zones(spark, sf_dir), 10.0).groupBy("src").agg(F.collect_list("dst").alias("near"))
+    document = near.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("src", "near")))))
+    return files.read_adjacency(spark, _written_json(document), "nations")
+
+
+@query
+def mapping_round_trip(spark, sf_dir):
+    zones = views.nation_zones(spark, sf_dir)
+    document = zones.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("zone", "group")))))
+    return files.read_mapping(spark, _written_json(document), "nations")
+
+
+@query
+def blocks_round_trip(spark, sf_dir):
+    """Blocks of nations by grid column, as folds."""
+    column = (F.col("x") / 10).cast("int").alias("block")
+    blocks = views.nation_zones(spark, sf_dir).select("zone", column).groupBy("block").agg(F.collect_list("zone").alias("zones"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("block", "zones"))), lambda b: b["zones"])
+    document = blocks.agg(F.to_json(F.struct(ordered.alias("blocks"))))
+    return graph.block_folds(files.read_blocks(spark, _written_json(document), "nations"))
+
+
+@query
+def scores_round_trip(spark, sf_dir):
+    path = table_path(spark)
+    files.write_scores(rounded(metrics.cpc(nation_pair(spark, sf_dir), KEYS)), path, "csv")
+    return files.read_raw(spark, path, "study_area string, partition string, CPC double")
+
+
 @query
 def flow_schema(spark, sf_dir):
     raw = product_a.standard_columns(views.trips_a(spark, sf_dir))
@@ -669,6 +715,15 @@ def contiguous_merge(spark, sf_dir):
     return _merged(spark, sf_dir)
 
 
+@query
+def contiguous_merge_connected(spark, sf_dir):
+    """How many merged groups there are, and how many of them hang together."""
+    mapping = write_table(_merged(spark, sf_dir)).withColumnRenamed("group", "block")
+    at = ["study_area", "realisation"]
+    edges = lookup_join(views.queen_edges(views.fine_zones(spark, sf_dir), 2.0), mapping.select(*at).distinct(), AREA, spread=["src"])
+    return graph.block_quality(mapping, edges, at).select(*at, "n_blocks", "n_connected")
+
+
 @query
 def contiguous_merge_sizes(spark, sf_dir):
     cells = flows.od_matrix(views.fine_flows(spark, sf_dir), KEYS)
