@@ -101,15 +101,8 @@ def find(kind: Kind, values: np.ndarray, first: np.ndarray) -> Anchors:
     return Anchors(place, at[begin], at[end], np.searchsorted(first, place, side="right") - 1, text.mix64(code[place]), prefix, first)
 
 
-def _tight(values: np.ndarray) -> bytes:
-    """Bytes of an array, compressed, after their length."""
-    body = values.tobytes()
-    return len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
-
-
 def _arrays(table: pa.Table, name: str, dtype) -> list[np.ndarray]:
-    cells = [v.as_buffer() for v in table.column(name)]
-    return [np.frombuffer(pa.decompress(c[8:], decompressed_size=int.from_bytes(c[:8], "little"), codec="zstd"), dtype=dtype) for c in cells]
+    return [text.untight(v.as_buffer(), dtype) for v in table.column(name)]
 
 
 def _joined(parts: list[np.ndarray], dtype) -> np.ndarray:
@@ -133,11 +126,11 @@ def _send(kind: Kind, buckets: int) -> Callable:
         for bucket, part in _by_bucket((keys >> np.uint64(40)).astype(np.int64) % buckets):
             held, local = np.unique(row[part], return_inverse=True)
             out["bucket"].append(bucket)
-            out["rows"].append(_tight(rows[held]))
+            out["rows"].append(text.tight(rows[held]))
             # 32 bits besides the bucket's: what still agrees by chance falls at the comparison.
-            out["key"].append(_tight(keys[part].astype(np.uint32)))
-            out["row_step"].append(_tight(np.diff(local, prepend=0).astype(np.uint32)))
-            out["nth"].append(_tight(nth[part].astype(np.uint32)))
+            out["key"].append(text.tight(keys[part].astype(np.uint32)))
+            out["row_step"].append(text.tight(np.diff(local, prepend=0).astype(np.uint32)))
+            out["nth"].append(text.tight(nth[part].astype(np.uint32)))
         yield pa.RecordBatch.from_pydict(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,10 +179,10 @@ def _addressed(owner: np.ndarray, columns: dict[str, np.ndarray], doc_buckets: i
     for bucket, part in _by_bucket(owner % doc_buckets):
         rows, local = np.unique(owner[part], return_inverse=True)
         out["doc_bucket"].append(bucket)
-        out["rows"].append(_tight(rows))
-        out["row"].append(_tight(local.astype(np.uint32)))
+        out["rows"].append(text.tight(rows))
+        out["row"].append(text.tight(local.astype(np.uint32)))
         for name, values in columns.items():
-            out[name].append(_tight(values[part].astype(np.uint32)))
+            out[name].append(text.tight(values[part].astype(np.uint32)))
     kinds = [pa.int64(), *[pa.binary()] * (len(out) - 1)]
     return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds, strict=True)})
 
@@ -253,14 +246,14 @@ def _pack(kind, out, splitters, values, found, keep, row_key, doc_id) -> None:
         body = values[text.ranges(low[first], size)]
         rows, local = np.unique(row[part], return_inverse=True)
         out["bucket"].append(b)
-        out["body"].append(_tight(body if kind.width == 1 else body.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : kind.width]))
-        out["left"].append(_tight((place - low)[first].astype(np.uint16)))
-        out["size"].append(_tight(size.astype(np.uint16)))
-        out["rows"].append(_tight(row_key[rows]))
-        out["ids"].append(_tight(doc_id[rows]))
-        out["row"].append(_tight(local.astype(np.uint32)))
-        out["context"].append(_tight(np.diff(context, prepend=0).astype(np.int32)))
-        out["place"].append(_tight((place - found.first[row])[part].astype(np.uint32)))
+        out["body"].append(text.tight(body if kind.width == 1 else body.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : kind.width]))
+        out["left"].append(text.tight((place - low)[first].astype(np.uint16)))
+        out["size"].append(text.tight(size.astype(np.uint16)))
+        out["rows"].append(text.tight(row_key[rows]))
+        out["ids"].append(text.tight(doc_id[rows]))
+        out["row"].append(text.tight(local.astype(np.uint32)))
+        out["context"].append(text.tight(np.diff(context, prepend=0).astype(np.int32)))
+        out["place"].append(text.tight((place - found.first[row])[part].astype(np.uint32)))
 
 
 class Contexts(NamedTuple):

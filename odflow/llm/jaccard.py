@@ -3,13 +3,14 @@
 A document's set holds its distinct shingles (runs of five words, A-Z lower-cased), as 64-bit hashes. Documents with equal sets are one class.
 
 1. Classes are partitioned into groups of likely similar ones by a token that similar sets tend to share: the least hash among their
-   frequent shingles where those make up half of the set, else the least of all.
+   frequent shingles where those reach into the prefix (below), else the least of all. Each group is opened for its leader, the set with the
+   largest share of frequent shingles: what links with the leader stays in its group, all others become groups of their own. Leaders and
+   the others are grouped once more by a second hash.
 2. Token-group matrix: each set's rarest tokens (a prefix long enough that a similar set's prefix shares ``1 + n // 10`` of them)
    are stored once per group. Tokens meet; two groups whose unions share fewer tokens than any of their members would need are out.
-3. Groups are opened for single queries: a query meets the union of a group's tokens first, and its members only where the
-   overlap with the union reaches what similarity asks for. The query is each group's leader for its own group; then, for pairs of
-   groups, the leader and all members that do not link with theirs; at last all members of pairs whose leaders stayed apart.
-   Large groups are opened in parts; queries go to each part.
+3. Groups that are left as pairs are opened for single queries: a query meets the union of a group's tokens first, and its members only where the
+   overlap with the union reaches what similarity asks for. The query is the smaller group's leader; then, where both groups have more members and
+   are not yet in one component, all members of the smaller. Large groups are opened in parts; queries go to each part.
 4. Links run together into components by rounds of least neighbours.
 
 Every link between different sets is found or lies inside a component already; which documents are frequent or grouped only steers the cost.
@@ -33,15 +34,20 @@ from odflow.llm import tables, text
 
 SHINGLE = 5
 PERCENT = 80
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 8 << 20
+SLICE_BYTES = 1 << 20
 #: A shingle is frequent if parts of the corpus that hold it twice or more count it this often in all.
 FREQUENT = 32
 MOST_FREQUENT = 1 << 20
 #: Members of a part of a group.
 PART_ROWS = 1024
+#: Buckets of group parts per shuffle partition.
+VERIFY_BUCKETS = 8
 #: Rows of a key table that may be broadcast.
 BROADCAST_ROWS = 500_000
-BUCKETS_PER_TASK = 4
+#: Groups in which a token of the prefixes makes it frequent too.
+CROWDED = 16
+_KEPT = np.uint64((1 << 48) - 1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -66,7 +72,7 @@ def shingle_sets(column: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.nda
 def _chunks(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
     """Sets of many rows at a time, with other columns of the rows."""
     held, size = [], 0
-    for batch in text.slices(batches, "text"):
+    for batch in text.slices(batches, "text", SLICE_BYTES):
         held.append(([batch.column(c).to_numpy(zero_copy_only=False) for c in columns], *shingle_sets(batch.column("text"))))
         size += batch.column("text").nbytes
         if size > CHUNK_BYTES:
@@ -91,77 +97,102 @@ def _frequent(own: DataFrame, most: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(token[some].view(np.int64)), pa.array(times[some])], ["token", "n"])
 
     counts = own.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counts.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(most).select("token").toPandas()
-    return np.sort(top["token"].to_numpy(np.int64).view(np.uint64))
+    top = counts.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(most).select("token").toArrow()
+    return np.unique(top.column("token").to_numpy().astype(np.int64).view(np.uint64) & _KEPT)
 
 
-def _describe(frequent, buckets: int, percent: int):
-    """Per document: set size, signature and group; and the token-group matrix, packed per bucket of tokens."""
+def _describe(frequent):
+    """Per document: set size, signature, two group keys, and the share of frequent shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = frequent.value
         for (row_key,), tokens, upto in _chunks(batches, ["row_key"]):
-            n_rows = len(row_key)
             size = np.diff(upto)
-            often = np.zeros(len(tokens), dtype=bool)
-            if len(common):
-                often = common[np.minimum(np.searchsorted(common, tokens), len(common) - 1)] == tokens
             full = size > 0
             at = upto[:-1][full]
-            stirred = text.mix64(tokens)
-            marks = [np.zeros(n_rows, dtype=np.uint64) for _ in range(3)]
+            marks = [np.zeros(len(row_key), dtype=np.uint64) for _ in range(4)]
+            share = np.zeros(len(row_key))
             if len(at):
+                often = _among(frequent.value, tokens)
+                stirred = text.mix64(tokens)
                 marks[0][full] = np.add.reduceat(stirred, at)
                 marks[1][full] = np.bitwise_xor.reduceat(text.mix64(tokens + np.uint64(7)), at)
-                n_often = np.add.reduceat(often.astype(np.int64), at)
-                among = np.where(np.repeat(2 * n_often >= size[full], size[full]) & ~often, np.uint64(0xFFFFFFFFFFFFFFFF), stirred)
-                marks[2][full] = np.minimum.reduceat(among, at)
-            none = pa.nulls(n_rows, pa.binary())
+                share[full] = np.add.reduceat(often.astype(np.int64), at) / size[full]
+                out = np.repeat(10 * share[full] >= 7, size[full]) & ~often
+                for mark in marks[2:]:
+                    stirred[out] = np.uint64(0xFFFFFFFFFFFFFFFF)
+                    mark[full] = np.minimum.reduceat(stirred, at)
+                    stirred = text.mix64(tokens + np.uint64(11))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(n_rows, np.int32)), pa.array(row_key), pa.array(size), *[pa.array(m.view(np.int64)) for m in marks], none, none, none, none], _NAMES
+                [pa.array(row_key), pa.array(size), *[pa.array(m.view(np.int64)) for m in marks], pa.array(share)], ["row_key", "n", "sum", "mix", "grp", "grp2", "share"]
             )
-            # The prefix: rare tokens first, then frequent ones, each by hash.
-            row = np.repeat(np.arange(n_rows), size)
+
+    return run
+
+
+def _among(common: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Which tokens are among the frequent ones, of which 48 bits are kept."""
+    if not len(common):
+        return np.zeros(len(tokens), dtype=bool)
+    tokens = tokens & _KEPT
+    return common[np.minimum(np.searchsorted(common, tokens), len(common) - 1)] == tokens
+
+
+def _prefixes(frequent, buckets: int, percent: int):
+    """The token-group matrix, packed per bucket of tokens: prefixes of sets, rare tokens first, then frequent ones, each by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (group,), tokens, upto in _chunks(batches, ["grp"]):
+            size = np.diff(upto)
             need = 1 + size // 10
-            length = np.where(full, size - -(-percent * size // 100) + need, 0)
-            order = np.lexsort((stirred, often, row))
-            picked = order[text.ranges(upto[:-1], length)]
-            token, owner = tokens[picked], np.repeat(np.arange(n_rows), length)
+            length = np.where(size > 0, size - -(-percent * size // 100) + need, 0)
+            row = np.repeat(np.arange(len(group), dtype=np.int64), size)
+            order = np.argsort(2 * row + _among(frequent.value, tokens), kind="stable")
+            token = tokens[order[text.ranges(upto[:-1], length)]]
+            del order, row
+            owner = np.repeat(np.arange(len(group)), length)
             out: dict[str, list] = {k: [] for k in _NAMES}
             bucket = (token >> np.uint64(44)).astype(np.int64) % buckets
             by = np.argsort(bucket, kind="stable")
             for part in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1):
                 if not len(part):
                     continue
-                groups, local = np.unique(marks[2][owner[part]], return_inverse=True)
-                least = np.full(len(groups), 1 << 30, dtype=np.int64)
-                np.minimum.at(least, local, need[owner[part]])
-                pairs = np.unique(np.stack((token[part], local.astype(np.uint64)), axis=1), axis=0) if len(groups) < len(part) // 400 else np.stack((token[part], local.astype(np.uint64)), axis=1)
-                for name, value in zip(_NAMES, (1, int(bucket[part[0]]), len(part), 0, 0, 0, groups.tobytes(), least.astype(np.uint32).tobytes(), (pairs[:, 0] >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), pairs[:, 1].astype(np.uint32).tobytes()), strict=True):
+                groups, local = np.unique(group[owner[part]], return_inverse=True)
+                sizes = size[owner[part]]
+                least, most = np.full(len(groups), 1 << 30, dtype=np.int64), np.zeros(len(groups), dtype=np.int64)
+                np.minimum.at(least, local, sizes)
+                np.maximum.at(most, local, sizes)
+                # 48 bits tell tokens of a bucket apart.
+                cells = (groups, least.astype(np.uint32), most.astype(np.uint32), token[part].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6], local.astype(np.uint32))
+                for name, value in zip(_NAMES, (int(bucket[part[0]]), *map(text.tight, cells)), strict=True):
                     out[name].append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in zip(_NAMES, _TYPES, strict=True)], _NAMES)
 
     return run
 
 
-_NAMES = ["kind", "row_key", "n", "sum", "mix", "grp", "groups", "least", "token", "owner"]
-_TYPES = [pa.int32(), *[pa.int64()] * 5, *[pa.binary()] * 4]
-_SHAPE = "kind int, row_key long, n long, sum long, mix long, grp long, groups binary, least binary, token binary, owner binary"
+_NAMES = ["bucket", "groups", "least", "most", "token", "owner"]
+_TYPES = [pa.int64(), *[pa.binary()] * 5]
+_SHAPE = "bucket long, groups binary, least binary, most binary, token binary, owner binary"
+
 
+def _lists(sent: pa.Table) -> tuple[np.ndarray, ...]:
+    """Groups of a bucket of tokens, their smallest and largest sets there, and each shared token's groups.
 
-def _meet(sent: pa.Table) -> pa.Table:
-    """Pairs of groups that share tokens of one bucket: how many, and the fewest that similar members could share."""
-    read = lambda name, dtype: [np.frombuffer(v.as_buffer(), dtype=dtype) for v in sent.column(name)]
+    Tokens and groups' numbers come sorted, each pair once, with the size of every token's list.
+    """
+    read = lambda name, dtype: [text.untight(v.as_buffer(), dtype) for v in sent.column(name)]
     groups = read("groups", np.int64)
     shift = np.cumsum([0, *[len(g) for g in groups]])
-    group, least = np.concatenate(groups), np.concatenate(read("least", np.uint32)).astype(np.int64)
-    wide = np.zeros((sum(len(t) for t in read("token", np.uint8)) // 6, 8), dtype=np.uint8)
-    wide[:, :6] = np.concatenate(read("token", np.uint8)).reshape(-1, 6)
+    group = np.concatenate(groups)
+    packed = np.concatenate(read("token", np.uint8)).reshape(-1, 6)
+    wide = np.zeros((len(packed), 8), dtype=np.uint8)
+    wide[:, :6] = packed
     token = wide.view("<u8").ravel()
     owner = np.concatenate([o.astype(np.int64) + s for o, s in zip(read("owner", np.uint32), shift, strict=False)])
     ids, number = np.unique(group, return_inverse=True)
-    fewest = np.full(len(ids), 1 << 30, dtype=np.int64)
-    np.minimum.at(fewest, number, least)
+    least, most = np.full(len(ids), 1 << 30, dtype=np.int64), np.zeros(len(ids), dtype=np.int64)
+    np.minimum.at(least, number, np.concatenate(read("least", np.uint32)).astype(np.int64))
+    np.maximum.at(most, number, np.concatenate(read("most", np.uint32)).astype(np.int64))
     by = np.argsort(token, kind="stable")
     token, owner = token[by], number[owner[by]]
     begin = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
@@ -174,7 +205,27 @@ def _meet(sent: pa.Table) -> pa.Table:
     new[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
     token, owner = token[new], owner[new]
     begin = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))) if len(token) else np.zeros(0, np.int64)
-    size = np.diff(np.concatenate((begin, [len(token)])))
+    return ids, least, most, token, owner, np.diff(np.concatenate((begin, [len(token)])))
+
+
+def _crowded(sent: pa.Table) -> pa.Table:
+    """Tokens that stand in the prefixes of many groups."""
+    _, _, _, token, _, size = _lists(sent)
+    first = np.cumsum(size) - size
+    many = size >= CROWDED
+    return pa.table({"token": token[first[many]].view(np.int64), "n": size[many].astype(np.int64)})
+
+
+def _meet(percent: int):
+    """Pairs of groups that share tokens of one bucket: how many, and the fewest that similar members could share.
+
+    Groups whose sets differ too much in size are no pair.
+    """
+    return lambda sent: _met(sent, percent)
+
+
+def _met(sent: pa.Table, percent: int) -> pa.Table:
+    ids, least, most, token, owner, size = _lists(sent)
     # Each entry with all later ones of its token, a bounded number of pairs at a time.
     place = text.ranges(np.zeros(len(size), np.int64), size)
     after = np.repeat(size, size) - place - 1
@@ -185,42 +236,55 @@ def _meet(sent: pa.Table) -> pa.Table:
             continue
         first = np.repeat(np.arange(low, high), after[low:high])
         second = text.ranges(np.arange(low, high) + 1, after[low:high])
-        code = owner[first].astype(np.uint64) << np.uint64(32) | owner[second].astype(np.uint64)
+        a, b = owner[first], owner[second]
+        alike = (100 * most[a] >= percent * least[b]) & (100 * most[b] >= percent * least[a])
+        code = a[alike].astype(np.uint64) << np.uint64(32) | b[alike].astype(np.uint64)
         code, inverse = np.unique(np.concatenate((seen, code)), return_inverse=True)
         count = np.bincount(inverse, weights=np.concatenate((count, np.ones(len(inverse) - len(count), np.int64)))).astype(np.int64)
         seen = code
     a, b = (seen >> np.uint64(32)).astype(np.int64), (seen & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    return pa.table({"a": ids[a], "b": ids[b], "shared": count, "least": np.minimum(fewest[a], fewest[b])})
+    return pa.table({"a": ids[a], "b": ids[b], "shared": count, "least": 1 + np.minimum(least[a], least[b]) // 10})
 
 
-def _verify(percent: int):
-    """Links of a group part's queries with its members: the union of tokens first, then the members."""
+def _verify(percent: int, every: bool):
+    """Links of queries with members of the group part they name: the union of tokens first, then the members.
 
-    def run(rows: pa.Table) -> pa.Table:
-        key, is_query = rows.column("row_key").to_numpy(), rows.column("is_query").to_numpy()
-        _, once = np.unique(np.stack((key, is_query), axis=1), axis=0, return_index=True)
-        rows, key, is_query = rows.take(pa.array(once)), key[once], is_query[once]
-        parts = [shingle_sets(b.column("text")) for b in text.slices(rows.to_batches(), "text")]
-        sets = [t[u[i] : u[i + 1]] for t, u in parts for i in range(len(u) - 1)]
+    Without ``every`` a query keeps one link to a part: enough where the group is one component.
+    """
+
+    def one(key: np.ndarray, is_query: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
         members, queries = np.flatnonzero(is_query == 0), np.flatnonzero(is_query == 1)
+        if not len(members) or not len(queries):
+            return
+        size = np.array([len(sets[i]) for i in members])
+        owner = np.repeat(np.arange(len(members)), size)
+        tokens = np.concatenate([sets[i] for i in members])
+        by = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[by], owner[by]
+        union, begin = np.unique(tokens, return_index=True)
+        end = np.concatenate((begin[1:], [len(tokens)]))
+        for q in queries:
+            mine = sets[q]
+            at = np.minimum(np.searchsorted(union, mine), len(union) - 1)
+            at = at[union[at] == mine]
+            if 100 * len(at) < percent * len(mine):
+                continue
+            both = np.bincount(owner[text.ranges(begin[at], end[at] - begin[at])], minlength=len(members))
+            near = np.flatnonzero((100 * both >= percent * (size + len(mine) - both)) & (key[members] != key[q]))
+            for m in near if every else near[:1]:
+                yield int(key[q]), int(key[members[m]])
+
+    def run(rows: pa.Table) -> pa.Table:
+        columns = [rows.column(c).to_numpy() for c in ("grp", "part", "is_query", "row_key")]
+        _, once = np.unique(np.stack(columns, axis=1), axis=0, return_index=True)  # sorted by group, part and side
+        grp, part, is_query, key = (c[once] for c in columns)
+        rows = rows.take(pa.array(once))
+        cuts = np.flatnonzero((grp[1:] != grp[:-1]) | (part[1:] != part[:-1])) + 1
         links: list[tuple[int, int]] = []
-        if len(members) and len(queries):
-            size = np.array([len(sets[i]) for i in members])
-            owner = np.repeat(np.arange(len(members)), size)
-            tokens = np.concatenate([sets[i] for i in members])
-            by = np.argsort(tokens, kind="stable")
-            tokens, owner = tokens[by], owner[by]
-            union, begin = np.unique(tokens, return_index=True)
-            end = np.concatenate((begin[1:], [len(tokens)]))
-            for q in queries:
-                mine = sets[q]
-                at = np.minimum(np.searchsorted(union, mine), max(0, len(union) - 1))
-                at = at[union[at] == mine]
-                if 100 * len(at) < percent * len(mine):
-                    continue
-                both = np.bincount(owner[text.ranges(begin[at], end[at] - begin[at])], minlength=len(members))
-                near = np.flatnonzero((100 * both >= percent * (size + len(mine) - both)) & (key[members] != key[q]))
-                links += [(int(key[q]), int(key[members[m]])) for m in near]
+        for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(once)], strict=True):
+            parts = [shingle_sets(b.column("text")) for b in text.slices(rows.slice(low, high - low).to_batches(), "text", SLICE_BYTES)]
+            sets = [t[u[i] : u[i + 1]] for t, u in parts for i in range(len(u) - 1)]
+            links += one(key[low:high], is_query[low:high], sets)
         a, b = zip(*links, strict=True) if links else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -232,8 +296,8 @@ def _small(frame: DataFrame) -> DataFrame:
     return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
 
 
-def _open(own: DataFrame, members: DataFrame, queries: DataFrame, percent: int) -> DataFrame:
-    """Links of ``queries`` (``row_key, grp``) with all members (``row_key, grp, parts``) of the group they name."""
+def _open(own: DataFrame, members: DataFrame, queries: DataFrame, percent: int, every: bool = False) -> DataFrame:
+    """Links of ``queries`` (``row_key, grp``) with members (``row_key, grp, parts``) of the group they name."""
     from odflow.session import write_table
 
     wanted = queries.select("grp").distinct()
@@ -242,7 +306,19 @@ def _open(own: DataFrame, members: DataFrame, queries: DataFrame, percent: int)
     asked = queries.join(parts, "grp").select("row_key", "grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(1).alias("is_query"))
     needed = write_table(target.unionByName(asked))
     rows = own.join(_small(needed), "row_key").select("grp", "part", "row_key", "is_query", "text")
-    return write_table(rows.groupBy("grp", "part").applyInArrow(_verify(percent), "a long, b long"))
+    # Many small groups share a bucket; a part of a large one stays whole in its own.
+    buckets = F.lit(VERIFY_BUCKETS * tables.width(own.sparkSession))
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("grp", "part"), buckets))
+    return write_table(dealt.groupBy("bucket").applyInArrow(_verify(percent, every), "a long, b long"))
+
+
+def _sized(members: DataFrame) -> DataFrame:
+    """``row_key, grp, share`` with the group's ``rows``, ``leader`` (most frequent shingles) and number of ``parts``."""
+    from odflow.session import write_table
+
+    best = F.max(F.struct("share", "row_key"))["row_key"]
+    size = members.groupBy("grp").agg(F.count("*").alias("rows"), best.alias("leader"))
+    return write_table(members.join(size.withColumn("parts", F.ceil(F.col("rows") / PART_ROWS).cast("long")), "grp"))
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -276,38 +352,49 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     own = own.withColumn("row_key", F.xxhash64("doc_id", "text"))
     frequent = spark.sparkContext.broadcast(_frequent(own, MOST_FREQUENT))
-    described = write_table(own.select("row_key", "text").mapInArrow(_describe(frequent, BUCKETS_PER_TASK * tables.width(spark), percent), _SHAPE))
-
-    sets = described.where("kind = 0").select("row_key", "n", "sum", "mix", "grp").distinct()
-    ids = own.select("row_key", "doc_id").join(sets, "row_key")
+    described = write_table(own.select("row_key", "text").mapInArrow(_describe(frequent), "row_key long, n long, sum long, mix long, grp long, grp2 long, share double"))
+    ids = own.select("row_key", "doc_id").join(described.distinct(), "row_key")
     same = ["sum", "mix", "n", "grp"]
-    classes = ids.where("n > 0").groupBy(*same).agg(F.min("row_key").alias("class"), F.min("doc_id").alias("first_id"))
-    classes = write_table(classes)
-    size = classes.groupBy("grp").agg(F.count("*").alias("rows"), F.min("class").alias("leader"))
-    size = write_table(size.withColumn("parts", F.ceil(F.col("rows") / PART_ROWS).cast("long")))
-    members = write_table(classes.select(F.col("class").alias("row_key"), "grp").join(size, "grp"))
-
-    entries = described.where("kind = 1").select(F.col("row_key").alias("bucket"), "groups", "least", "token", "owner")
-    met = entries.groupBy("bucket").applyInArrow(_meet, "a long, b long, shared long, least long")
+    classes = write_table(ids.where("n > 0").groupBy(*same).agg(F.min("row_key").alias("class"), F.min("doc_id").alias("first_id"), F.first("grp2").alias("grp2"), F.first("share").alias("share")))
+
+    # First groups, and what links with their leaders; then what is left, and the leaders, once more by the other key.
+    clusters = classes.select(*same, F.col("class").alias("row_key"), "grp2", "share", F.col("class").alias("cluster"))
+    stars = None
+    for key in ("grp", "grp2"):
+        first = _sized(clusters.where("row_key = cluster").select("row_key", F.col(key).alias("grp"), "share"))
+        leaders = first.where("rows > 1").select(F.col("leader").alias("row_key"), "grp").distinct()
+        found = _open(own, first, leaders, percent, every=True)
+        stars = found if stars is None else stars.unionByName(found)
+        starred = found.select(F.col("a").alias("_to"), F.col("b").alias("cluster")).distinct()
+        clusters = write_table(clusters.join(starred, "cluster", "left").withColumn("cluster", F.coalesce("_to", "cluster")).drop("_to"))
+
+    # Rows whose group is not their own: members of a leader's group, and all but one row of equal sets.
+    moved = described.distinct().join(clusters.select(*same, "cluster"), same).where("row_key <> cluster").select("row_key", "cluster")
+    placed = own.join(_small(write_table(moved)), "row_key", "left").select(F.coalesce("cluster", "row_key").alias("grp"), "text")
+    # A first deal finds the tokens that crowd the prefixes; they move to the end of the order, so that the second makes few pairs.
+    buckets = tables.width(spark)
+    deal = lambda common: placed.mapInArrow(_prefixes(common, buckets, percent), _SHAPE)
+    crowded = deal(frequent).groupBy("bucket").applyInArrow(_crowded, "token long, n long")
+    top = crowded.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token").toArrow()
+    more = np.union1d(frequent.value, top.column("token").to_numpy().astype(np.int64).view(np.uint64))
+    sent = deal(spark.sparkContext.broadcast(more))
+    met = sent.groupBy("bucket").applyInArrow(_meet(percent), "a long, b long, shared long, least long")
     pairs = write_table(met.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("least").alias("least")).where("shared >= least").select("a", "b"))
 
-    many = size.where("rows > 1")
-    links = _open(own, members, many.select(F.col("leader").alias("row_key"), "grp"), percent)
-    with_leader = links.select(F.col("a").alias("leader"), F.col("b").alias("row_key")).unionByName(links.select(F.col("b").alias("leader"), F.col("a").alias("row_key"))).distinct()
-    apart = write_table(members.where("row_key <> leader").join(with_leader, ["leader", "row_key"], "left_anti").select("row_key", "grp"))
-    to_b = pairs.select(F.col("a").alias("grp"), F.col("b").alias("other"))
-    both = to_b.unionByName(pairs.select(F.col("b").alias("grp"), F.col("a").alias("other")))
-    second = apart.unionByName(apart.join(both, "grp").select("row_key", F.col("other").alias("grp")))
-    second = second.unionByName(to_b.join(size.select("grp", F.col("leader").alias("row_key")), "grp").select("row_key", F.col("other").alias("grp")))
-    links = write_table(links.unionByName(_open(own, members, second.distinct(), percent)))
+    # A group's id is its leader's key, so the smaller group of a pair asks by its id.
+    members = _sized(clusters.select("row_key", F.col("cluster").alias("grp"), "share"))
+    rows = members.groupBy("grp").agg(F.first("rows").alias("rows"))
+    of = lambda side: rows.select(F.col("grp").alias(side), F.col("rows").alias(f"n_{side}"))
+    sides = pairs.join(of("a"), "a").join(of("b"), "b")
+    smaller = F.col("n_a") <= F.col("n_b")
+    sides = write_table(sides.select(F.when(smaller, F.col("a")).otherwise(F.col("b")).alias("row_key"), F.when(smaller, F.col("b")).otherwise(F.col("a")).alias("grp"), F.least("n_a", "n_b").alias("n_row")))
+    links = write_table(stars.unionByName(_open(own, members, sides.select("row_key", "grp"), percent)))
     roots = connected(links)
 
-    root_of = lambda side: size.select(F.col("grp").alias(side), F.col("leader").alias("node"), F.col("rows").alias(f"n_{side}")).join(roots, "node", "left").select(side, f"n_{side}", F.coalesce("root", "node").alias(f"root_{side}"))
-    left = pairs.join(root_of("a"), "a").join(root_of("b"), "b").where("root_a <> root_b")
-    smaller = F.when(F.col("n_a") <= F.col("n_b"), F.struct(F.col("a").alias("grp"), F.col("b").alias("other"))).otherwise(F.struct(F.col("b").alias("grp"), F.col("a").alias("other")))
-    left = left.where("n_a > 1 OR n_b > 1").select(smaller.alias("p")).select("p.grp", "p.other")
-    third = members.join(left, "grp").select("row_key", F.col("other").alias("grp")).distinct()
-    third = write_table(third)
+    root = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
+    apart = sides.where("n_row > 1").join(root("row_key"), "row_key", "left").join(root("grp"), "grp", "left").where("root_row_key <> root_grp")
+    third = members.select(F.col("row_key").alias("asks"), F.col("grp").alias("row_key")).join(apart.select("row_key", "grp"), "row_key")
+    third = write_table(third.select(F.col("asks").alias("row_key"), "grp"))
     if third.take(1):
         roots = connected(links.unionByName(_open(own, members, third, percent)))
 

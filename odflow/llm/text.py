@@ -93,6 +93,17 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def tight(values: np.ndarray) -> bytes:
+    """Bytes of an array, compressed, after their length."""
+    body = values.tobytes()
+    return len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
+
+
+def untight(cell: pa.Buffer, dtype) -> np.ndarray:
+    size = int.from_bytes(cell[:8], "little")
+    return np.frombuffer(pa.decompress(cell[8:], decompressed_size=size, codec="zstd"), dtype=dtype)
+
+
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Concatenated ``start, start+1, …`` of every start, ``count`` values each."""
     total = int(counts.sum())
