@@ -27,6 +27,8 @@ from odflow.llm import text
 TRAIN_ROWS = 40_000
 MOST_ENTRIES = 100_000
 LONGEST_GRAM = 5
+#: Text that is worked on together: letters, hashes and n-grams take some hundred bytes for each of its bytes.
+SLICE_BYTES = 1 << 20
 UNKNOWN = "und"
 _EDGE = np.uint64(1)
 _letters: list[np.ndarray] = []
@@ -92,7 +94,7 @@ def learn(train: DataFrame, train_rows: int = TRAIN_ROWS, most: int = MOST_ENTRI
     number = {name: i for i, name in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text.slices(batches, "text"):
+        for batch in text.slices(batches, "text", SLICE_BYTES):
             lang = np.array([number[x] for x in batch.column("lang").to_pylist()], dtype=np.int64)
             points, starts, ends, row = _letter_words(batch.column("text").to_pylist())
             whole = text.span_hashes(text.prefix_hashes(points), starts, ends)
@@ -112,10 +114,10 @@ def learn(train: DataFrame, train_rows: int = TRAIN_ROWS, most: int = MOST_ENTRI
     )
     levels = []
     for level in range(LONGEST_GRAM + 1):
-        top = per_key.where(F.col("level") == level).orderBy(F.desc("all"), "key").limit(most).select("key", *columns).toPandas()
-        table = top[columns].to_numpy(np.float64)
+        top = per_key.where(F.col("level") == level).orderBy(F.desc("all"), "key").limit(most).select("key", *columns).toArrow()
+        table = np.stack([top.column(c).to_numpy().astype(np.float64) for c in columns], axis=1)
         table = np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * max(1, len(top))))
-        key = top["key"].to_numpy(np.int64).view(np.uint64)
+        key = top.column("key").to_numpy().astype(np.int64).view(np.uint64)
         order = np.argsort(key)
         levels.append((key[order], table[order].astype(np.float32)))
     prior = np.array([shares[x] for x in langs], dtype=float)
@@ -175,7 +177,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text.slices(batches, "text"):
+        for batch in text.slices(batches, "text", SLICE_BYTES):
             lang, score = _judge(shared.value, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
 
