@@ -7,7 +7,7 @@ better scores first.
 
 Training has no outside labels: base matches that pass their check are positive, those that fail it negative; secrets are labelled by
 their assignment. The looser forms have no label and are only scored. The fit reads at most ``SAMPLE`` labelled candidates, those of least
-hash among all documents.
+hash among the candidates of ``SAMPLE_DOCS`` documents, taken by hash.
 
 Cases: a null or empty text has no spans; texts are read whole, at code point places; repeated rows are judged alike; an empty table gives no
 rows; without candidates of a kind nothing of it is added. Other columns are ignored by ``find_spans`` and kept by ``redact``.
@@ -30,6 +30,8 @@ from odflow.llm import text
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
 SAMPLE = 20_000
+#: Documents (in expectation) whose candidates may enter the fit, taken by hash of their text.
+SAMPLE_DOCS = 200_000
 PRECISION = 0.98
 #: Code points before a span in which hint words count.
 CONTEXT = 24
@@ -184,14 +186,16 @@ class BoostedTrees:
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> dict:
-    """Trees and thresholds, from at most ``sample`` labelled candidates of all documents."""
+    """Trees and thresholds, from at most ``sample`` labelled candidates."""
+    share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
+    seen = docs.select(F.col("text").cast("string")).where(F.pmod(F.xxhash64("text"), F.lit(1 << 31)) < int(share * (1 << 31)) + 1)
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text.slices(batches, "text"):
             rows = [(k, t, features(body, k, s, e)) for body in batch.column("text").to_pylist() if body for k, s, e, t in candidates(body) if t >= 0]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.list_(pa.float64())))], ["kind", "label", "x"])
 
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(propose, "kind int, label int, x array<double>")
+    rows = seen.mapInArrow(propose, "kind int, label int, x array<double>")
     kept = rows.withColumn("h", F.xxhash64("kind", "label", "x")).orderBy("h").limit(sample).collect()
     if not kept:
         return {"trees": None, "least": [math.inf] * len(KINDS)}
