@@ -6,8 +6,10 @@ rows selects what is redacted. Base matches that pass their check are always kep
 better scores first.
 
 Training has no outside labels: base matches that pass their check are positive, those that fail it negative; secrets are labelled by
-their assignment. The looser forms have no label and are only scored. The fit reads at most ``SAMPLE`` labelled candidates, those of least
-hash among the candidates of ``SAMPLE_DOCS`` documents, taken by hash.
+their assignment. The looser forms have no label and are only scored. The fit reads at most ``SAMPLE`` labelled candidates (in expectation),
+an equal number of each kind and label, taken by a hash of document, start and kind; so kinds that are rare beside others keep their rows,
+and equal candidates enter singly. Thresholds come from all labelled candidates of all documents but those the trees were fitted on,
+as counts per bin of score that are summed in Spark.
 
 Cases: a null or empty text has no spans; texts are read whole, at code point places; repeated rows are judged alike; an empty table gives no
 rows; without candidates of a kind nothing of it is added. Other columns are ignored by ``find_spans`` and kept by ``redact``.
@@ -30,9 +32,9 @@ from odflow.llm import text
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
 SAMPLE = 20_000
-#: Documents (in expectation) whose candidates may enter the fit, taken by hash of their text.
-SAMPLE_DOCS = 200_000
 PRECISION = 0.98
+#: Bins of the log odds of a score, and how many there are for one unit.
+BINS, BINS_A_UNIT = 2_048, 64
 #: Code points before a span in which hint words count.
 CONTEXT = 24
 
@@ -185,34 +187,77 @@ class BoostedTrees:
         return 1 / (1 + np.exp(-score))
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE) -> dict:
-    """Trees and thresholds, from at most ``sample`` labelled candidates."""
-    share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
-    seen = docs.select(F.col("text").cast("string")).where(F.pmod(F.xxhash64("text"), F.lit(1 << 31)) < int(share * (1 << 31)) + 1)
+def _bins(scores: np.ndarray) -> np.ndarray:
+    odds = np.log(np.maximum(scores, 1e-12)) - np.log(np.maximum(1 - scores, 1e-12))
+    return np.clip(np.floor(odds * BINS_A_UNIT) + BINS // 2, 0, BINS - 1).astype(np.int64)
+
+
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list]]:
+    """``kind, label, hash`` of the labelled candidates of a slice, and what to compute their features from; ``row_hash`` tells rows apart."""
+    for batch in text.slices(batches, "text"):
+        found = [(h, b, k, s, e, t) for h, b in zip(batch.column("row_hash").to_pylist(), batch.column("text").to_pylist(), strict=True) if b for k, s, e, t in candidates(b) if t >= 0]
+        if found:
+            row, start, kind = (np.array([f[i] for f in found], dtype=np.int64).view(np.uint64) for i in (0, 3, 2))
+            code = text.mix64(text.mix64(row + start) + kind)
+            yield kind.view(np.int64), np.array([f[5] for f in found]), code, [f[1:5] for f in found]
+
+
+def _share(code: np.ndarray) -> np.ndarray:
+    """Places in [0, 1) by hash."""
+    return (code >> np.uint64(11)).astype(np.float64) / float(1 << 53)
 
-    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text.slices(batches, "text"):
-            rows = [(k, t, features(body, k, s, e)) for body in batch.column("text").to_pylist() if body for k, s, e, t in candidates(body) if t >= 0]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.list_(pa.float64())))], ["kind", "label", "x"])
 
-    rows = seen.mapInArrow(propose, "kind int, label int, x array<double>")
-    kept = rows.withColumn("h", F.xxhash64("kind", "label", "x")).orderBy("h").limit(sample).collect()
-    if not kept:
+def _is_held(code: np.ndarray) -> np.ndarray:
+    return text.mix64(code ^ np.uint64(0x5DEECE66D)) % np.uint64(3) == 0
+
+
+def learn(docs: DataFrame, sample: int = SAMPLE) -> dict:
+    """Trees from at most ``sample`` labelled candidates (in expectation), thresholds from all."""
+    seen = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("row_hash"), F.col("text").cast("string"))
+    groups = 2 * len(KINDS)
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(groups, dtype=np.int64)
+        for kind, label, _, _ in _labelled(batches):
+            total += np.bincount(2 * kind + label, minlength=groups)
+        yield pa.RecordBatch.from_pydict({"of": pa.array(np.arange(groups), pa.int32()), "n": total})
+
+    counts = {r.of: r.n for r in seen.mapInArrow(tally, "of int, n long").groupBy("of").agg(F.sum("n").alias("n")).collect()}
+    if not sum(counts.values()):
         return {"trees": None, "least": [math.inf] * len(KINDS)}
-    x, y = np.array([r.x for r in kept]), np.array([r.label for r in kept], dtype=float)
-    kind = np.array([r.kind for r in kept])
-    held = np.array([r.h % 3 == 0 for r in kept])
+    bound = np.array([min(1.0, max(1, sample // groups) / max(1, counts[g])) for g in range(groups)])
+
+    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for kind, label, code, spans in _labelled(batches):
+            at = np.flatnonzero(_share(code) < bound[2 * kind + label])
+            x = [features(b, k, s, e) for b, k, s, e in (spans[i] for i in at)]
+            yield pa.RecordBatch.from_pydict({"code": pa.array(code[at].view(np.int64)), "label": pa.array(label[at], pa.int32()), "x": pa.array(x, pa.list_(pa.float64()))})
+
+    # Sorted by hash: sums of floats do not hang on the order of tasks.
+    kept = sorted((r.code, r.label, r.x) for r in seen.mapInArrow(propose, "code long, label int, x array<double>").collect())
+    held = _is_held(np.array([r[0] for r in kept], dtype=np.int64).view(np.uint64))
+    x, y = np.array([r[2] for r in kept]), np.array([r[1] for r in kept], dtype=float)
     trees = BoostedTrees().fit(x[~held], y[~held]) if (~held).any() else BoostedTrees().fit(x, y)
-    score = trees.predict(x)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(KINDS), 2, BINS, 2), dtype=np.int64)
+        for kind, label, code, spans in _labelled(batches):
+            bins = _bins(trees.predict(np.array([features(*span) for span in spans])))
+            fitted = (_share(code) < bound[2 * kind + label]) & ~_is_held(code)
+            np.add.at(total, (kind, fitted.astype(np.int64), bins, label), 1)
+        k, fitted, at, label = np.nonzero(total)
+        yield pa.RecordBatch.from_pydict({"kind": pa.array(k, pa.int32()), "fitted": pa.array(fitted, pa.int32()), "bin": pa.array(at, pa.int32()), "label": pa.array(label, pa.int32()), "n": total[k, fitted, at, label]})
+
+    summed = np.zeros((len(KINDS), 2, BINS, 2), dtype=np.int64)
+    scored = seen.mapInArrow(score, "kind int, fitted int, bin int, label int, n long").groupBy("kind", "fitted", "bin", "label").agg(F.sum("n").alias("n"))
+    for r in scored.collect():  # at most BINS rows for each kind, label and part
+        summed[r.kind, r.fitted, r.bin, r.label] = r.n
     least = []
-    for k in range(len(KINDS)):
-        rows = held & (kind == k) if (held & (kind == k)).any() else kind == k
-        order = np.argsort(-score[rows], kind="stable")
-        s, t = score[rows][order], y[rows][order]
-        precise = np.flatnonzero(np.cumsum(t) / np.arange(1, len(t) + 1) >= PRECISION) if len(t) else []
-        # Ties share a score: a cut must not fall between them.
-        precise = [i for i in precise if i + 1 == len(s) or s[i + 1] < s[i]]
-        least.append(max(0.5, float(s[precise[-1]])) if len(precise) else math.inf)
+    for own in summed:
+        # A kind of which all candidates were fitted is judged by those.
+        n = (own[0] if own[0].sum() else own[1])[::-1].cumsum(axis=0)
+        precise = np.flatnonzero((n[:, 1] > 0) & (n[:, 1] >= PRECISION * n.sum(axis=1)))
+        least.append(max(BINS // 2, BINS - 1 - int(precise[-1])) if len(precise) else math.inf)
     return {"trees": trees, "least": least}
 
 
@@ -223,8 +268,8 @@ def _select(model: dict, bodies: list[str | None]) -> list[tuple[list, list]]:
     added: dict[int, list] = {}
     if open_ and model["trees"] is not None:
         score = model["trees"].predict(np.array([features(bodies[i], k, s, e) for i, (k, s, e, _) in open_]))
-        for (i, (k, s, e, _)), p in zip(open_, score.tolist(), strict=True):
-            if p >= model["least"][k]:
+        for (i, (k, s, e, _)), p, at in zip(open_, score.tolist(), _bins(score).tolist(), strict=True):
+            if at >= model["least"][k]:
                 added.setdefault(i, []).append((-p, s, e, k))
     out = []
     for i, cs in enumerate(found):

@@ -148,6 +148,17 @@ def test_secrets_are_added_and_near_misses_left(docs_of):
     assert pii.redact(docs_of([None, ""]), pii.learn(docs_of([]))).count() == 2
 
 
+def test_rare_kinds_keep_their_rows_and_copies_do_not_crowd_the_fit(docs_of):
+    draw = random.Random(6)
+    secret = lambda: "".join(draw.choice("abcdef0123456789") for _ in range(40))
+    texts = [", ".join(str(draw.randrange(10, 10 ** draw.randint(2, 18))) for _ in range(20)) for _ in range(1500)] + ["12 34 56 78 90 12 34"] * 500
+    texts += [f'some words, api token = "{secret()}" end' for _ in range(10)]
+    model = pii.learn(docs_of(texts), sample=200)
+    assert model["least"][4] != float("inf")
+    asked = [f'api token = "{secret()}" end' for _ in range(5)]
+    assert {r.text for r in pii.redact(docs_of(asked), model).collect()} == {'api token = "[SECRET]" end'}
+
+
 def test_boosted_trees_learn_an_interaction():
     x = np.random.default_rng(0).random((2000, 4))
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.3)).astype(float)
