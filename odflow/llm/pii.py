@@ -45,9 +45,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # Looser forms, and secrets in assignments.
-_SPELLED_EMAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?(?:\[at\]|\(at\)|\{at\})\x20?[A-Za-z0-9-]+(?:\x20?(?:\.|\[dot\]|\(dot\)|\{dot\})\x20?[A-Za-z0-9-]+)+", re.IGNORECASE)
+_SPELLED_AT = re.compile(r"(?:\[at\]|\(at\)|\{at\})\x20?[A-Za-z0-9-]+(?:\x20?(?:\.|\[dot\]|\(dot\)|\{dot\})\x20?[A-Za-z0-9-]+)+", re.IGNORECASE)
 _PLAIN_PHONE = re.compile(r"(?<![0-9A-Za-z+.])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])")
-_SECRET = re.compile(r"(?P<name>[A-Za-z_]{2,20})\x20?[=:]\x20?[\"']?(?P<value>[A-Za-z0-9_+/-]{16,256})(?![A-Za-z0-9_+/-])")
+_SECRET = re.compile(r"(?P<name>[A-Za-z_]{2,20})\x20?[=:]\x20?[\"']?(?P<value>[A-Za-z0-9_+/-]{16,}+)")
 _TOUCHES = re.compile(r"[0-9@]")
 _HINTS = {
     "email": ("mail", "contact", "@"),
@@ -84,6 +84,20 @@ def _emails(body: str) -> Iterator[tuple[int, int]]:
         at = body.find("@", max(at + 1, end))
 
 
+def _spelled_emails(body: str) -> Iterator[tuple[int, int]]:
+    """As ``_emails``, from each spelled-out @ outwards."""
+    end, m = 0, _SPELLED_AT.search(body)
+    while m:
+        edge = m.start() - int(m.start() > end and body[m.start() - 1] == " ")
+        start = edge
+        while start > end and body[start - 1] in _LOCAL:
+            start -= 1
+        if start < edge:
+            end = m.end()
+            yield start, end
+        m = _SPELLED_AT.search(body, max(m.start() + 1, end))
+
+
 def candidates(body: str) -> list[tuple[int, int, int, int]]:
     """``kind, start, end, label`` of all proposed spans: 1 passes its check, 0 fails it, -1 has none."""
     out = []
@@ -103,9 +117,8 @@ def candidates(body: str) -> list[tuple[int, int, int, int]]:
             value, name = m["value"], m["name"].lower()
             mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
             out.append((4, m.start("value"), m.end("value"), int(mixed and any(h in name for h in _HINTS["secret"]))))
-    low = body.lower() if "at]" in body or "at)" in body or "at}" in body or "AT" in body else ""
-    if "at]" in low or "at)" in low or "at}" in low:
-        out += [(0, m.start(), m.end(), -1) for m in _SPELLED_EMAIL.finditer(body)]
+    if "[" in body or "(" in body or "{" in body:
+        out += [(0, s, e, -1) for s, e in _spelled_emails(body)]
     return out
 
 

@@ -159,6 +159,18 @@ def test_rare_kinds_keep_their_rows_and_copies_do_not_crowd_the_fit(docs_of):
     assert {r.text for r in pii.redact(docs_of(asked), model).collect()} == {'api token = "[SECRET]" end'}
 
 
+def test_long_secrets_and_spelled_addresses_are_proposed():
+    found = lambda body, kind: [body[s:e] for k, s, e, _ in pii.candidates(body) if k == kind]
+    for n in (16, 256, 257, 300, 5_000):
+        assert found(f'api token = "{"a1" * n}"'[: 13 + n] + '" end', 4) == [("a1" * n)[:n]]
+    assert found("token = " + "b2" * 400 + "==", 4) == ["b2" * 400]
+    long = "x" * 100
+    for at in ("[at]", "[At]", "(At)", "{aT}", "(AT)"):
+        assert found(f"to {long}.y {at} mail.example [dot] com", 0) == [f"{long}.y {at} mail.example [dot] com"]
+    assert found("[at] y.z [At] w.v and a(at)b.c(at)d.e", 0) == ["y.z [At] w.v", "a(at)b.c"]
+    assert found("word " * 3 + "x[at]y", 0) == []
+
+
 def test_boosted_trees_learn_an_interaction():
     x = np.random.default_rng(0).random((2000, 4))
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.3)).astype(float)
