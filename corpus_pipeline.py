@@ -16,10 +16,11 @@ from odflow.session import write_table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in which no language can be told: null texts, and texts without letters. ``lang`` becomes the predicted one."""
+    """Rejects null texts, and texts without letters. ``lang`` becomes the predicted one; without any labelled text it stays as it was."""
     docs, named = shielded(docs, ("doc_id", "text", "lang"))
-    judged = language.identify(docs, language.learn(docs)).where(F.col("lang_pred") != language.UNKNOWN)
-    return named(judged.withColumn("lang", F.col("lang_pred")))
+    model = language.learn(docs)
+    judged = language.identify(docs, model).where("has_letters")
+    return named(judged.withColumn("lang", F.col("lang_pred")) if model["langs"] else judged)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -132,11 +132,13 @@ def _known(level: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.n
     return level[0][at] == keys, at
 
 
-def _judge(model: dict, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+def _judge(model: dict, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language and score of every text, and whether it has a letter."""
     langs, n_rows = model["langs"], len(texts)
     points, starts, ends, row = _letter_words(texts)
+    n_words = np.bincount(row, minlength=n_rows)
     if not langs or not len(starts):
-        return [UNKNOWN] * n_rows, np.zeros(n_rows)
+        return [UNKNOWN] * n_rows, np.zeros(n_rows), n_words > 0
     whole = text.span_hashes(text.prefix_hashes(points), starts, ends)
     key, first, inverse = np.unique(whole, return_index=True, return_inverse=True)
     value = np.zeros((len(key), len(langs)), dtype=np.float64)
@@ -154,7 +156,6 @@ def _judge(model: dict, texts: list[str | None]) -> tuple[list[str], np.ndarray]
             sums = np.bincount(word, weights=model["levels"][n][1][at, k], minlength=len(open_))
             value[open_, k] = np.where(times > 0, sums / np.maximum(times, 1), 0.0)
         open_ = open_[times == 0]
-    n_words = np.bincount(row, minlength=n_rows)
     total = np.stack([np.bincount(row, weights=value[inverse, k], minlength=n_rows) for k in range(len(langs))], axis=1)
     total = total + model["share"]
     total -= total.max(axis=1, keepdims=True)
@@ -163,7 +164,7 @@ def _judge(model: dict, texts: list[str | None]) -> tuple[list[str], np.ndarray]
     odds /= odds.sum(axis=1, keepdims=True)
     best = total.argmax(axis=1)
     names = [langs[b] if w else UNKNOWN for b, w in zip(best, n_words, strict=True)]
-    return names, np.where(n_words > 0, odds[np.arange(n_rows), best], 0.0)
+    return names, np.where(n_words > 0, odds[np.arange(n_rows), best], 0.0), n_words > 0
 
 
 def held_out(doc_id: Column) -> Column:
@@ -171,15 +172,15 @@ def held_out(doc_id: Column) -> Column:
 
 
 def identify(docs: DataFrame, model: dict) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``, from the text alone; every other column stays as it is."""
+    """``docs`` with ``lang_pred``, ``score`` and ``has_letters``, from the text alone; every other column stays as it is."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop("lang_pred", "score", "has_letters")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text.slices(batches, "text", SLICE_BYTES):
-            lang, score = _judge(shared.value, batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
+            lang, score, letters = _judge(shared.value, batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(letters, pa.bool_())], [*names, "lang_pred", "score", "has_letters"])
 
-    shape = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    shape = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("has_letters", T.BooleanType())])
     return docs.mapInArrow(run, shape)

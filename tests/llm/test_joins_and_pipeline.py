@@ -130,6 +130,15 @@ def test_pipeline_stages(spark, docs_of):
     assert len(rows) == steps[3].count() and all(r.exact and r.n_tokens == len(r.ids) for r in rows)
 
 
+def test_unlabelled_documents_stay(spark, docs_of):
+    stage = dict(corpus_pipeline.STAGES)["language ID"]
+    texts = ["some words", None, "12 34", "ärger"]
+    kept = stage(spark, docs_of(texts, langs=[None] * 4), "").collect()
+    assert sorted((r.doc_id, r.lang, r.text) for r in kept) == [(0, None, "some words"), (3, None, "ärger")]
+    kept = stage(spark, docs_of(texts, langs=["und", None, "und", None]), "").collect()
+    assert sorted((r.doc_id, r.lang) for r in kept) == [(0, "und"), (3, "und")]
+
+
 def test_pipeline_of_nothing(spark, docs_of):
     docs = docs_of([])
     for _, stage in corpus_pipeline.STAGES:
