@@ -104,7 +104,7 @@ def partitions_round_trip(spark, sf_dir):
 
 
 def _written_json(document: DataFrame) -> str:
-    """A document of one row, such as the graph files of an area are."""
+    """One JSON object per row and line, such as the graph files of an area are."""
     path = table_path(document.sparkSession)
     document.write.text(path)
     return path
@@ -113,15 +113,15 @@ def _written_json(document: DataFrame) -> str:
 @query
 def adjacency_round_trip(spark, sf_dir):
     near = views.queen_edges(views.nation_zones(spark, sf_dir), 10.0).groupBy("src").agg(F.collect_list("dst").alias("near"))
-    document = near.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("src", "near")))))
-    return files.read_adjacency(spark, _written_json(document), "nations")
+    lines = near.select(F.to_json(F.create_map("src", "near")))
+    return files.read_adjacency(spark, _written_json(lines), "nations")
 
 
 @query
 def mapping_round_trip(spark, sf_dir):
     zones = views.nation_zones(spark, sf_dir)
-    document = zones.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("zone", "group")))))
-    return files.read_mapping(spark, _written_json(document), "nations")
+    lines = zones.select(F.to_json(F.create_map("zone", "group")))
+    return files.read_mapping(spark, _written_json(lines), "nations")
 
 
 @query

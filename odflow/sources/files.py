@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,31 +35,54 @@ def read_partitions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+@F.udf(T.BooleanType())
+def _one_object(value: str | None) -> bool:
+    """Whether a text is one JSON object and nothing else; ``from_json`` does not look at what follows."""
+    try:
+        return isinstance(json.loads(value), dict)
+    except (TypeError, ValueError):
+        return False
+
+
+def _parsed(texts: DataFrame, shape: str) -> DataFrame:
+    """``doc`` of texts that must hold one object each."""
+    doc = F.from_json("value", shape)
+    wrong = F.raise_error(F.concat(F.lit("not one JSON object of the expected shape: "), F.substring("value", 1, 80)))
+    return texts.select(F.when(_one_object("value") & doc.isNotNull(), doc).otherwise(wrong).alias("doc"))
+
+
+def _read_objects(spark: SparkSession, path: str, shape: str) -> DataFrame:
+    """``doc`` of every object. A file of which each line is an object is read by lines, in parts; any other must be one object as a whole."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where("trim(value) <> ''")
+    kinds = lines.groupBy("file").agg(F.bool_and(_one_object("value")).alias("by_lines"))
+    whole = [r.file for r in kinds.where("NOT by_lines").collect()]  # a row per file that holds one document
+    if not whole:
+        return _parsed(lines, shape)
+    others = [r.file for r in kinds.where("by_lines").collect()]
+    named = lambda files: [re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(f)) for f in files]
+    documents = _parsed(spark.read.text(named(whole), wholetext=True), shape)
+    return documents.unionByName(_parsed(spark.read.text(named(others)).where("trim(value) <> ''"), shape)) if others else documents
+
+
 def read_adjacency(spark: SparkSession, path: str, study_area: str) -> DataFrame:
-    """Edges from a JSON object {zone: [neighbours]}, one object per line or per file."""
-    links = spark.read.text(path, wholetext=True).select(
-        F.from_json("value", "map<string,array<string>>").alias("links")
-    )
-    return links.select(F.explode("links").alias("src", "near")).select(
+    """Edges from JSON objects {zone: [neighbours]}, one object per line or per file."""
+    links = _read_objects(spark, path, "map<string,array<string>>")
+    return links.select(F.explode("doc").alias("src", "near")).select(
         F.lit(study_area).alias("study_area"), "src", F.explode("near").alias("dst")
     )
 
 
 def read_mapping(spark: SparkSession, path: str, study_area: str) -> DataFrame:
-    """Zone-to-group rows from a JSON object {zone: group}."""
-    pairs = spark.read.text(path, wholetext=True).select(
-        F.from_json("value", "map<string,string>").alias("pairs")
-    )
-    return pairs.select(F.explode("pairs").alias("zone", "group")).select(
+    """Zone-to-group rows from JSON objects {zone: group}, one object per line or per file."""
+    pairs = _read_objects(spark, path, "map<string,string>")
+    return pairs.select(F.explode("doc").alias("zone", "group")).select(
         F.lit(study_area).alias("study_area"), "zone", "group"
     )
 
 
 def read_blocks(spark: SparkSession, path: str, study_area: str) -> DataFrame:
-    """(study_area, zone, block) from the JSON document {"blocks": [[zone, …], …]}."""
-    document = spark.read.text(path, wholetext=True).select(
-        F.from_json("value", "blocks array<array<string>>").alias("doc")
-    )
+    """(study_area, zone, block) from one JSON document {"blocks": [[zone, …], …]} per file; a block is its place in the document."""
+    document = _parsed(spark.read.text(path, wholetext=True).where("trim(value) <> ''"), "blocks array<array<string>>")
     return document.select(F.posexplode("doc.blocks").alias("block", "members")).select(
         F.lit(study_area).alias("study_area"), F.explode("members").alias("zone"), "block"
     )

@@ -183,6 +183,25 @@ def test_file_round_trips(spark, tmp_path):
     assert sorted((r.zone, r.block) for r in blocks.collect()) == [("0", 0), ("1", 1), ("2", 0)]
 
 
+def test_objects_by_line_and_by_file(spark, tmp_path):
+    folder = tmp_path / "adj [1] a"
+    folder.mkdir()
+    (folder / "lines.json").write_text('{"0": ["1"]}\n\n{"1": ["0", "2"]}\n{"2": ["1"]}\n')
+    (folder / "whole b.json").write_text(json.dumps({"7": ["8"], "8": ["7"]}, indent=1))
+    edges = files.read_adjacency(spark, str(tmp_path / "adj*"), "A")
+    assert sorted((r.src, r.dst) for r in edges.collect()) == [("0", "1"), ("1", "0"), ("1", "2"), ("2", "1"), ("7", "8"), ("8", "7")]
+    (tmp_path / "map.json").write_text('{"0": "g"}\n{"1": "h"}\n')
+    assert {r.zone: r.group for r in files.read_mapping(spark, str(tmp_path / "map.json"), "A").collect()} == {"0": "g", "1": "h"}
+    (tmp_path / "broken.json").write_text('{"0": ["1"]}\n{"1": ["0"]\n')
+    (tmp_path / "two.json").write_text('{"0": ["1"]} {"1": ["0"]}\n')
+    for name in ("broken", "two"):
+        with pytest.raises(Exception, match="not one JSON object"):
+            files.read_adjacency(spark, str(tmp_path / f"{name}.json"), "A").collect()
+    (tmp_path / "blocks.json").write_text('{"blocks": [["0"]]}\n{"blocks": [["1"]]}\n')
+    with pytest.raises(Exception, match="not one JSON object"):
+        files.read_blocks(spark, str(tmp_path / "blocks.json"), "A").collect()
+
+
 def test_report_tables(spark):
     assert len(REPORT_COLUMNS) == 8
     for name in REPORT_COLUMNS:
