@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from odflow.llm import automaton, bpe, chat, fingerprint, jaccard, language, mixing, pii, suffix, topk
+from odflow.llm import automaton, bpe, chat, fingerprint, jaccard, language, mixing, pii, spelling, suffix, topk
 from odflow.llm.tables import read
 
 
@@ -96,6 +96,11 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form and root of every word that occurs at least twice."""
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_mix": op2_mix,
@@ -107,6 +112,7 @@ QUERIES = {
     "op8_substring": op8_substring,
     "op9_fingerprint": op9_fingerprint,
     "op10_jaccard": op10_jaccard,
+    "op11_spelling": op11_spelling,
 }
 
 SQL = {
