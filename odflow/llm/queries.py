@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from odflow.llm import automaton, bpe, chat, fingerprint, jaccard, language, mixing, pii, spelling, suffix, topk
+from odflow.llm import automaton, bpe, chat, fingerprint, jaccard, language, mixing, pii, quality, spelling, suffix, topk
 from odflow.llm.tables import read
 
 
@@ -101,6 +101,14 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(read(spark, sf_dir, "documents"))
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; documents with remainder 0 are held out of the training."""
+    docs, labels = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels")
+    weights = quality.learn(docs, labels.where(~quality.held_out(F.col("doc_id"))))
+    found = quality.scored(docs.withColumn("held_out", quality.held_out(F.col("doc_id"))), weights)
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_mix": op2_mix,
@@ -113,6 +121,7 @@ QUERIES = {
     "op9_fingerprint": op9_fingerprint,
     "op10_jaccard": op10_jaccard,
     "op11_spelling": op11_spelling,
+    "op12_quality": op12_quality,
 }
 
 SQL = {
