@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from odflow.llm import automaton, bpe, chat, fingerprint, jaccard, language, mixing, pii, quality, spelling, suffix, topk
+from odflow.llm import automaton, bpe, chat, fingerprint, jaccard, language, mixing, phrases, pii, quality, spelling, suffix, topk
 from odflow.llm.tables import read
 
 
@@ -109,6 +109,11 @@ def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 phrases of every language that hold together best."""
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_mix": op2_mix,
@@ -122,6 +127,7 @@ QUERIES = {
     "op10_jaccard": op10_jaccard,
     "op11_spelling": op11_spelling,
     "op12_quality": op12_quality,
+    "op13_phrases": op13_phrases,
 }
 
 SQL = {
@@ -151,5 +157,36 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(upto) FILTER (role = 'assistant' OR i = n) AS BIGINT) AS formatted_chars
 FROM p GROUP BY conv_id
+""",
+    "op13_phrases": """
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), w AS (
+  SELECT lang, [x FOR x IN regexp_split_to_array(piece, '[\x20\x09]+') IF x <> ''] AS ws FROM p
+), g AS (
+  SELECT lang, k, unnest([ws[i : i + k - 1] FOR i IN range(1, CAST(len(ws) - k + 2 AS BIGINT))]) AS gram
+  FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(ws) >= k
+), f AS (SELECT lang, k, gram, count(*) AS n FROM g GROUP BY lang, k, gram),
+c AS (SELECT * FROM f WHERE k >= 2 AND n >= 30),
+cuts AS (SELECT lang, k, gram, n, unnest(range(1, k)) AS cut FROM c),
+s AS (
+  SELECT cuts.lang, cuts.k, cuts.gram, cuts.n AS a, cut, x.n AS l, y.n AS r,
+    (CAST(2000000 AS HUGEINT) * cuts.n) // (CAST(x.n AS HUGEINT) + y.n) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.gram = cuts.gram[1 : cut]
+  JOIN f y ON y.lang = cuts.lang AND y.gram = cuts.gram[cut + 1 : cuts.k]
+), b AS (SELECT *, row_number() OVER (PARTITION BY lang, gram ORDER BY score, cut) AS nth FROM s),
+parts AS (
+  SELECT lang, n, unnest([gram[i : i + m - 1] FOR i IN range(1, CAST(k - m + 2 AS BIGINT))]) AS gram
+  FROM c, (SELECT unnest([2, 3]) AS m) WHERE m < k
+), longer AS (SELECT lang, gram, max(n) AS n FROM parts GROUP BY lang, gram),
+kept AS (
+  SELECT b.lang, array_to_string(b.gram, ' ') AS phrase, a, l, r, score
+  FROM b LEFT JOIN longer o ON o.lang = b.lang AND o.gram = b.gram
+  WHERE nth = 1 AND NOT coalesce(CAST(100 AS HUGEINT) * o.n >= CAST(80 AS HUGEINT) * a, false)
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT ranked.lang, rank, phrase, a, l, r, t.n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang) t ON t.lang = ranked.lang WHERE rank <= 2000
 """,
 }
