@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from odflow.operators.generators.gravity import (
 from odflow.operators.generators.ipf import ipf_emit_reported, train_columns
 from odflow.operators.generators.radiation import radiation_probabilities
 from odflow.operators.zones import AREA, zone_pairs
+from odflow.plans.factors import share_scores
 from odflow.session import write_table
 
 # Law names, the row order of the generator table, and the few-shot masks.
@@ -83,7 +85,17 @@ def score_condition_g(
     return checked.withColumn("CPC", F.when(F.col("_missed") > 0, failure).otherwise(F.col("CPC"))).drop("_missed")
 
 
-def emit_generators(
+@dataclass(frozen=True)
+class Law:
+    """A generator's table: shares ``p`` or, for laws that also fit inflows, flows; by fold, or one for all folds."""
+
+    name: str
+    table: DataFrame
+    by_fold: bool = True
+    flows: bool = False
+
+
+def generator_laws(
     pairs: DataFrame,
     targets: DataFrame,
     reference: DataFrame,
@@ -94,68 +106,47 @@ def emit_generators(
     mechanism: bool = False,
     fewshot: bool = False,
     max_cycles: int = 1000,
-) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Emitted flows of the laws that depend on the fold, and of those that do not, and both laws' marks.
+) -> tuple[list[Law], DataFrame, DataFrame]:
+    """The fitted laws, and marks of those by fold and of those for all folds.
 
-    Flows are long tables keyed by (keys[, fold], law_model); marks (keys[, fold], law_model, settled) say for the laws that are
-    searched for whether the search ended by itself.
+    Marks (keys[, fold], law_model, settled) say for the laws that are searched for whether the search ended by itself.
     """
     from odflow.operators.generators import learned, softmax_net
 
     outflows = row_sums(targets, keys)
-    by_fold = [*keys, "fold", "law_model"]
-    once = [*keys, "law_model"]
     named = F.create_map(*[F.lit(x) for pair in GRAVITY_LAWS.items() for x in pair])
-
     betas = fit_gravity(pairs, reference, area, tuple(GRAVITY_LAWS), train, area=area)
-    gravity = fitted_probabilities(pairs, betas, area).withColumn("law_model", named[F.col("law")])
-    radiation = radiation_probabilities(pairs, reference, zones, train, area).withColumn(
-        "law_model", F.lit("Radiation")
-    )
     oracle_betas = fit_gravity(pairs, targets, keys, ("power",), train, area=area)
-    oracle = fitted_probabilities(pairs, oracle_betas, area).withColumn("law_model", F.lit("Oracle"))
     # Meta-gravity is the prior of the residual laws too: fitted once, written, shared.
     prior = write_table(learned.meta_flows(pairs, reference, train, area))
-    meta = learned.meta_probabilities(pairs, reference, train, area, prior).withColumn(
-        "law_model", F.lit("meta-Gravity")
-    )
-    parts = [emit(p, outflows, by_fold, area) for p in (gravity, radiation, oracle, meta)]
-
+    gravity = fitted_probabilities(pairs, betas, area)
+    laws = [Law(name, gravity.where(F.col("law") == law)) for law, name in GRAVITY_LAWS.items()]
+    laws += [
+        Law("Radiation", radiation_probabilities(pairs, reference, zones, train, area)),
+        Law("Oracle", fitted_probabilities(pairs, oracle_betas, area)),
+        Law("meta-Gravity", learned.meta_probabilities(pairs, reference, train, area, prior)),
+    ]
     by_row, row_ended = ipf_emit_reported(
         pairs, reference, outflows, column_sums(targets, keys), zones, keys, area, max_cycles=max_cycles
     )
-    steady = [by_row.withColumn("law_model", F.lit("IPF_G-row"))]
     columns = train_columns(reference, outflows, zones, keys, train, area)
-    folds = train.select(*area, "fold").distinct()
-    fold_outflows = outflows.join(folds, list(area))
+    fold_outflows = outflows.join(train.select(*area, "fold").distinct(), list(area))
     by_column, column_ended = ipf_emit_reported(
         pairs, reference, fold_outflows, columns, zones, [*keys, "fold"], area, max_cycles=max_cycles
     )
-    parts.append(by_column.withColumn("law_model", F.lit("IPF_G-row-traincol")))
+    laws += [Law("IPF_G-row", by_row, by_fold=False, flows=True), Law("IPF_G-row-traincol", by_column, flows=True)]
     if mechanism:
-        closed = closed_form_probabilities(pairs, keys=area).withColumn("law_model", F.lit("ClosedFormGravity"))
-        steady.append(emit(closed, outflows, once, area))
-        residual = learned.residual_probabilities(pairs, reference, train, area, prior)
-        laws = {
-            "DeepGravity": softmax_net.net_probabilities(pairs, reference, train, area),
-            "RandomForest": learned.forest_probabilities(pairs, reference, train, area),
-            "neuroGravity_zeroshot": residual,
-        }
-        parts += [emit(p.withColumn("law_model", F.lit(n)), outflows, by_fold, area) for n, p in laws.items()]
-        if fewshot:
-            for mask in FEWSHOT_MASKS:
-                p = learned.fewshot_probabilities(
-                    pairs, reference, targets, zones, train, keys, mask, area, prior=prior, residual=residual
-                )
-                parts.append(emit(p.withColumn("law_model", F.lit(f"neuroGravity_{mask}")), outflows, by_fold, area))
-
-    def stacked(tables: list[DataFrame], columns: list[str]) -> DataFrame:
-        chosen = [t.select(*columns, "origin", "destination", "flow") for t in tables]
-        whole = chosen[0]
-        for more in chosen[1:]:
-            whole = whole.unionByName(more)
-        return whole
-
+        residual = write_table(learned.residual_probabilities(pairs, reference, train, area, prior))
+        laws += [
+            Law("ClosedFormGravity", closed_form_probabilities(pairs, keys=area), by_fold=False),
+            Law("DeepGravity", softmax_net.net_probabilities(pairs, reference, train, area)),
+            Law("RandomForest", learned.forest_probabilities(pairs, reference, train, area)),
+            Law("neuroGravity_zeroshot", residual),
+        ]
+        for mask in FEWSHOT_MASKS if fewshot else ():
+            p = learned.fewshot_probabilities(pairs, reference, targets, zones, train, keys, mask, area, prior=prior, residual=residual)
+            laws.append(Law(f"neuroGravity_{mask}", p))
+    by_fold = [*keys, "fold", "law_model"]
     searched = lookup_join(
         betas.select(*area, "fold", named[F.col("law")].alias("law_model"), "settled"),
         targets.select(*keys).distinct(), list(area), spread=["law_model"],
@@ -164,7 +155,62 @@ def emit_generators(
     marks = marks.unionByName(oracle_betas.select(*keys, "fold", F.lit("Oracle").alias("law_model"), "settled"))
     ended = column_ended.select(*keys, "fold", F.lit("IPF_G-row-traincol").alias("law_model"), F.col("converged").alias("settled"))
     steady_marks = row_ended.select(*keys, F.lit("IPF_G-row").alias("law_model"), F.col("converged").alias("settled"))
-    return stacked(parts, by_fold), stacked(steady, once), marks.unionByName(ended), steady_marks
+    return laws, marks.unionByName(ended), steady_marks
+
+
+def _stacked(tables: Sequence[DataFrame]) -> DataFrame:
+    whole = tables[0]
+    for more in tables[1:]:
+        whole = whole.unionByName(more)
+    return whole
+
+
+def emit_generators(
+    pairs: DataFrame,
+    targets: DataFrame,
+    reference: DataFrame,
+    zones: DataFrame,
+    keys: Sequence[str],
+    train: DataFrame,
+    area: Sequence[str] = AREA,
+    mechanism: bool = False,
+    fewshot: bool = False,
+    max_cycles: int = 1000,
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Emitted flows of the laws that depend on the fold, and of those that do not, and both laws' marks.
+
+    Flows are long tables keyed by (keys[, fold], law_model), for callers that want the matrices; scores need none of them.
+    """
+    laws, marks, steady_marks = generator_laws(pairs, targets, reference, zones, keys, train, area, mechanism, fewshot, max_cycles)
+    outflows = row_sums(targets, keys)
+
+    def flows_of(law: Law) -> DataFrame:
+        at = [*keys, *(["fold"] if law.by_fold else []), "law_model"]
+        table = law.table.withColumn("law_model", F.lit(law.name))
+        return (table if law.flows else emit(table, outflows, at, area)).select(*at, "origin", "destination", "flow")
+
+    per_fold, steady = ([flows_of(x) for x in laws if x.by_fold is which] for which in (True, False))
+    return _stacked(per_fold), _stacked(steady), marks, steady_marks
+
+
+def score_laws(laws: Sequence[Law], targets: DataFrame, zones: DataFrame, keys: Sequence[str], area: Sequence[str] = AREA) -> tuple[DataFrame, DataFrame]:
+    """Scores of the laws by fold, and of those for all folds, from their shares: no matrix is emitted.
+
+    Shares with the same keys are stacked and scored together.
+    """
+    found: dict[bool, list[DataFrame]] = {True: [], False: []}
+    kinds: dict[tuple, list[DataFrame]] = {}
+    for law in laws:
+        own = [k for k in (*keys, "fold") if k in law.table.columns and (k != "fold" or law.by_fold)]
+        value = F.col("flow" if law.flows else "p").alias("p")
+        # Shares are read three times: for the origins, for all cells, and at the target's cells.
+        table = law.table.select(*own, F.lit(law.name).alias("law_model"), "origin", "destination", "distance", value)
+        kinds.setdefault((law.by_fold, law.flows, *own), []).append(table)
+    for (by_fold, flows, *own), tables in kinds.items():
+        at = [*keys, *(["fold"] if by_fold else []), "law_model"]
+        shares = _stacked(tables) if flows else write_table(_stacked(tables))
+        found[by_fold].append(share_scores(shares, targets, zones, at, keys, area, emitted=flows))
+    return _stacked(found[True]), _stacked(found[False])
 
 
 def run_generators(
@@ -185,14 +231,9 @@ def run_generators(
     """
     pairs = generator_pairs(zones, area)
     origins = all_train(zones, area) if train is None else train
-    per_fold, steady, marks, steady_marks = emit_generators(
-        pairs, targets, reference, zones, keys, origins, area, mechanism, fewshot, max_cycles
-    )
-    # Emissions are scored in three passes; the written copy saves fitting models again.
-    per_fold, steady = write_table(per_fold), write_table(steady)
-    by_fold = score_condition_g(per_fold, targets, zones, [*keys, "fold", "law_model"], keys, area)
+    laws, marks, steady_marks = generator_laws(pairs, targets, reference, zones, keys, origins, area, mechanism, fewshot, max_cycles)
+    by_fold, once = score_laws(laws, targets, zones, keys, area)
     by_fold = _marked(by_fold, marks, [*keys, "fold", "law_model"])
-    once = score_condition_g(steady, targets, zones, [*keys, "law_model"], keys, area)
     once = _marked(once, steady_marks, [*keys, "law_model"])
     repeated = once.join(origins.select(*area, "fold").distinct(), list(area))
     return by_fold.unionByName(repeated.select(by_fold.columns))
