@@ -72,15 +72,15 @@ def weighted_destinations(cells: DataFrame, keys: Sequence[str], most: int | Non
         whole = kept.groupBy(*keys).agg(F.sum("_mass").alias("_whole"))
         kept = lookup_join(kept, whole, list(keys), spread=["origin"])
         rate = F.least(F.lit(1.0), F.lit(float(most)) / F.col("_whole"))
-    kept = kept.withColumn("_n", F.greatest(F.floor(F.col("_mass") * rate).cast("int"), F.lit(1))).select(*keys, "origin", "_mass", "_n")
+    kept = kept.withColumn("_n", F.greatest(F.floor(F.col("_mass") * rate).cast("long"), F.lit(1).cast("long"))).select(*keys, "origin", "_mass", "_n")
     upto = Window.partitionBy(*keys, "origin").orderBy(*zone_order("destination")).rowsBetween(
         Window.unboundedPreceding, -1
     )
     bounds = positive.select(
-        *keys, "origin", "destination", F.lit(0).alias("draw"),
+        *keys, "origin", "destination", F.lit(0).cast("long").alias("draw"),
         F.coalesce(F.sum("flow").over(upto), F.lit(0.0)).alias("_at"),
     )
-    draws = kept.withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(
+    draws = kept.withColumn("draw", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(
         *keys, "origin", F.lit(None).cast("string").alias("destination"), "draw",
         (hash_uniform(*keys, "origin", "draw", seed=seed) * F.col("_mass")).alias("_at"),
     )

@@ -76,8 +76,9 @@ def zone_pairs(
     """All ordered zone pairs of each area with their distance: the N² table generators emit on.
 
     An equi-join on (area, bucket): origins fall into buckets of about ``PAIR_BUCKET`` zones and the
-    destination list is copied to each bucket, so a large area is built by many tasks. Rows come out
-    hash-partitioned by (area, origin), the key of every row-wise step that follows.
+    destination list is copied to each bucket, so a large area is built by many tasks. While the planner broadcasts the
+    destinations, rows come out hash-partitioned by (area, origin), the key of every row-wise step that follows; above its
+    threshold they are shuffled by bucket, and once more by the first such step.
     """
     sizes = zones.groupBy(*keys).agg(F.ceil(F.count("*") / PAIR_BUCKET).cast("int").alias("_buckets"))
     sized = lookup_join(zones, sizes, list(keys), spread=["zone"])

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from odflow.functions.numeric import ratio
-from odflow.functions.spread import hash_order, hash_uniform, lookup_join
+from odflow.functions.spread import hash_order, lookup_join
 from odflow.operators import metrics
 from odflow.operators.flows import on_diagonal, zone_counts
 from odflow.operators.zones import AREA, with_distance
@@ -20,6 +23,8 @@ OVERLAP_SCORES = (
     "CPC_indep", "CPC_RT_full",
 )
 DAY_SCORES = ("CPC_R", "CPC_RT", "Delta", "lambda")
+# Resamples of one key that a task draws; it holds their counts of every day.
+RESAMPLES_A_TASK = 50
 
 
 def condition_s(
@@ -88,6 +93,29 @@ def condition_s(
     )
 
 
+def _resampled(keys: list[str], scores: list[str], resamples: int, seed: int) -> Callable[[pa.Table], pa.Table]:
+    """Means of a task's resamples of the days of one key; days without a score do not count in its mean."""
+
+    def run(days: pa.Table) -> pa.Table:
+        days = days.sort_by("date")
+        n, first = days.num_rows, days["_task"][0].as_py() * RESAMPLES_A_TASK
+        numbers = range(first, min(first + RESAMPLES_A_TASK, resamples))
+        key = days["_seed"][0].as_py()
+        times = np.stack([np.bincount(np.random.default_rng([seed, key, k]).integers(0, n, n), minlength=n) for k in numbers])
+        out = {c: pa.chunked_array([pa.repeat(days[c][0], len(numbers))]) for c in keys}
+        out["n_days"] = pa.array(np.full(len(numbers), n), pa.int32())
+        for s in scores:
+            known = days[s].is_valid().to_numpy().astype(float)
+            value = np.nan_to_num(days[s].to_numpy())
+            for name, counts in (("_boot", times), ("mean", np.ones((1, n)))):
+                drawn = counts @ known
+                mean = np.where(drawn > 0, counts @ value / np.maximum(drawn, 1), np.nan)
+                out[f"{name}_{s}"] = pa.array(np.broadcast_to(mean, len(numbers)), pa.float64(), from_pandas=True)
+        return pa.table(out)
+
+    return run
+
+
 def day_bootstrap(
     day_scores: DataFrame,
     keys: Sequence[str],
@@ -97,28 +125,23 @@ def day_bootstrap(
 ) -> DataFrame:
     """Mean and 2.5 / 97.5 percentiles of the mean score over days drawn with replacement.
 
-    ``day_scores`` has one row per (keys, date). A resample draws day numbers, which join the numbered days and are averaged
-    with map-side combine; the means over all days are computed once. Fewer than two days leave the percentiles NULL.
+    ``day_scores`` has one row per (keys, date). A resample is how often it draws each day; ``RESAMPLES_A_TASK`` of them are one product of
+    their counts with the days of a key, so days are repeated once for so many resamples. Draws hang on the key, the resample's number and
+    the order of dates; the means over all days come with them. Fewer than two days leave the percentiles NULL.
     """
-    numbered = day_scores.select(
-        *keys, *scores, F.row_number().over(Window.partitionBy(*keys).orderBy("date")).alias("_day")
-    )
-    numbered = write_table(numbered)
-    whole = numbered.groupBy(*keys).agg(
-        F.count("*").cast("int").alias("n_days"), *[F.avg(s).alias(f"mean_{s}") for s in scores]
-    )
-    draws = numbered.select(*keys, "_day").withColumnRenamed("_day", "_k").join(whole.select(*keys, "n_days"), list(keys))
-    draws = draws.withColumn("_draw", F.explode(F.sequence(F.lit(1), F.lit(int(resamples)))))
-    place = F.floor(hash_uniform(*keys, F.col("_draw"), F.col("_k"), seed=seed) * F.col("n_days")).cast("int") + 1
-    drawn = draws.select(*keys, "_draw", place.alias("_day"))
-    resampled = lookup_join(drawn, numbered, [*keys, "_day"], spread=["_draw"]).groupBy(*keys, "_draw").agg(
-        *[F.avg(s).alias(f"_boot_{s}") for s in scores]
-    )
+    days = write_table(day_scores.select(*keys, "date", *[F.col(s).cast("double").alias(s) for s in scores]))
+    tasks = F.sequence(F.lit(0), F.lit((int(resamples) - 1) // RESAMPLES_A_TASK))
+    dealt = days.withColumn("_task", F.explode(tasks)).withColumn("_seed", F.xxhash64(*keys).bitwiseAND(F.lit((1 << 62) - 1)))
+    kinds = {f.name: f for f in days.schema.fields}
+    numbers = [T.StructField(f"{name}_{s}", T.DoubleType()) for s in scores for name in ("_boot", "mean")]
+    shape = T.StructType([*[kinds[k] for k in keys], T.StructField("n_days", T.IntegerType()), *numbers])
+    resampled = dealt.groupBy(*keys, "_task").applyInArrow(_resampled(list(keys), list(scores), int(resamples), seed), shape)
     quantiles = resampled.groupBy(*keys).agg(
+        F.max("n_days").alias("n_days"), *[F.max(f"mean_{s}").alias(f"mean_{s}") for s in scores],
         *[F.percentile(f"_boot_{s}", q).alias(f"{name}_{s}") for s in scores for q, name in ((0.025, "p2_5"), (0.975, "p97_5"))]
     )
     known = F.col("n_days") >= 2
-    return whole.join(quantiles, list(keys)).select(
+    return quantiles.select(
         *keys, "n_days",
         *[F.col(f"mean_{s}") for s in scores],
         *[F.when(known, F.col(f"{name}_{s}")).alias(f"{name}_{s}") for s in scores for name in ("p2_5", "p97_5")],
