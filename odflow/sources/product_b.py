@@ -73,15 +73,20 @@ def reference_flows(
     strict: bool = False,
     zones: DataFrame | None = None,
     keys: Sequence[str] = (),
+    motive_col: str = "motive",
+    time_col: str = "time_band",
 ) -> DataFrame:
-    """Morning work flows, and study flows of any hour as a held-out partition."""
+    """Morning work flows, and study flows of any hour as a held-out partition.
+
+    ``motive_col`` and ``time_col`` name other columns to read motive and band from; one that is not there gives way to the usual column.
+    """
     table = standard_columns(raw)
-    require(table, "motive")
-    morning = (
-        is_morning(F.col("time_band"), bands, strict) if "time_band" in table.columns else F.lit(True)
-    )
-    label = F.when(has_motive(F.col("motive"), WORK_MOTIVES) & morning, REFERENCE).when(
-        has_motive(F.col("motive"), STUDY_MOTIVES), STUDY
+    motive_col = motive_col if motive_col in table.columns else "motive"
+    time_col = time_col if time_col in table.columns else "time_band"
+    require(table, motive_col)
+    morning = is_morning(F.col(time_col), bands, strict) if time_col in table.columns else F.lit(True)
+    label = F.when(has_motive(F.col(motive_col), WORK_MOTIVES) & morning, REFERENCE).when(
+        has_motive(F.col(motive_col), STUDY_MOTIVES), STUDY
     )
     labelled = table.withColumn("_label", label).where(F.col("_label").isNotNull())
     return sum_by_pair(to_flows(labelled, F.col("_label"), keys=keys), zones, keys)

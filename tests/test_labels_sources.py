@@ -134,6 +134,10 @@ def test_product_b(spark):
     assert loose == {"R_HBW_AM": (3.0, None), "study_heldout": (8.0, None)}
     strict = {r.partition: r.flow for r in product_b.reference_flows(raw, strict=True).collect()}
     assert strict == {"R_HBW_AM": 1.0, "study_heldout": 8.0}
+    named = raw.withColumnsRenamed({"MOTIVO": "why", "FASCIA_ORARIA": "when"})
+    other = {r.partition: (r.flow, r.date) for r in product_b.reference_flows(named, motive_col="why", time_col="when").collect()}
+    assert other == loose
+    assert {r.partition: (r.flow, r.date) for r in product_b.reference_flows(raw, motive_col="absent", time_col="absent").collect()} == loose
     always = {r.partition: r.flow for r in product_b.reference_flows(raw.drop("FASCIA_ORARIA")).collect()}
     assert always == {"R_HBW_AM": 7.0, "study_heldout": 8.0}
     with pytest.raises(KeyError):
