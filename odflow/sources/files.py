@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Sequence
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,26 +34,29 @@ def read_partitions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-@F.udf(T.BooleanType())
-def _one_object(value: str | None) -> bool:
-    """Whether a text is one JSON object and nothing else; ``from_json`` does not look at what follows."""
-    try:
-        return isinstance(json.loads(value), dict)
-    except (TypeError, ValueError):
-        return False
+def _one_object(shape: str) -> Column:
+    """The text as an object of the shape, NULL unless it is one JSON object and nothing else.
+
+    ``from_json`` does not look at what follows a document. Here the text stands within a list and within an object: what follows
+    it would have to close both in one place.
+    """
+    within = lambda before, after, outer: F.from_json(F.concat(F.lit(before), "value", F.lit(after)), outer)
+    alone = (F.size(within("[", "]", f"array<{shape}>")) == 1) & F.regexp_replace("value", r"^\s+", "").startswith("{")
+    return F.when(alone, within('{"x":', "}", f"x {shape}")["x"])
 
 
 def _parsed(texts: DataFrame, shape: str) -> DataFrame:
-    """``doc`` of texts that must hold one object each."""
-    doc = F.from_json("value", shape)
+    """``doc`` of texts that must hold one object each; blank texts have none."""
+    doc = _one_object(shape)
     wrong = F.raise_error(F.concat(F.lit("not one JSON object of the expected shape: "), F.substring("value", 1, 80)))
-    return texts.select(F.when(_one_object("value") & doc.isNotNull(), doc).otherwise(wrong).alias("doc"))
+    # The planner may look at a text before the filter of blank ones does.
+    return texts.select(F.when(doc.isNotNull(), doc).when(F.trim("value") != "", wrong).alias("doc"))
 
 
 def _read_objects(spark: SparkSession, path: str, shape: str) -> DataFrame:
     """``doc`` of every object. A file of which each line is an object is read by lines, in parts; any other must be one object as a whole."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where("trim(value) <> ''")
-    kinds = lines.groupBy("file").agg(F.bool_and(_one_object("value")).alias("by_lines"))
+    kinds = lines.groupBy("file").agg(F.bool_and(_one_object(shape).isNotNull()).alias("by_lines"))
     whole = [r.file for r in kinds.where("NOT by_lines").collect()]  # a row per file that holds one document
     if not whole:
         return _parsed(lines, shape)
@@ -82,7 +84,7 @@ def read_mapping(spark: SparkSession, path: str, study_area: str) -> DataFrame:
 
 def read_blocks(spark: SparkSession, path: str, study_area: str) -> DataFrame:
     """(study_area, zone, block) from one JSON document {"blocks": [[zone, …], …]} per file; a block is its place in the document."""
-    document = _parsed(spark.read.text(path, wholetext=True).where("trim(value) <> ''"), "blocks array<array<string>>")
+    document = _parsed(spark.read.text(path, wholetext=True).where("trim(value) <> ''"), "struct<blocks:array<array<string>>>")
     return document.select(F.posexplode("doc.blocks").alias("block", "members")).select(
         F.lit(study_area).alias("study_area"), F.explode("members").alias("zone"), "block"
     )
