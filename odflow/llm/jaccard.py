@@ -4,14 +4,17 @@ A document's set holds its distinct shingles (runs of five words, A-Z lower-case
 
 1. Classes are partitioned into groups of likely similar ones by a token that similar sets tend to share: the least hash among their
    frequent shingles where those reach into the prefix (below), else the least of all. Each group is opened for its leader, the set with the
-   largest share of frequent shingles: what links with the leader stays in its group, all others become groups of their own. Leaders and
-   the others are grouped once more by a second hash.
-2. Token-group matrix: each set's rarest tokens (a prefix long enough that a similar set's prefix shares ``1 + n // 10`` of them)
+   largest share of frequent shingles: what reaches half of the leader's similarity (``LOOSE``) stays in its group, so that a family of near
+   copies is one group even where its members do not link; all others become groups of their own. Leaders and the others are grouped
+   again by further hashes.
+2. Members that no chain of links ties to their leader ask their own group: its token union first, then its members.
+3. Token-group matrix: each set's rarest tokens (a prefix long enough that a similar set's prefix shares ``1 + n // 10`` of them)
    are stored once per group. Tokens meet; two groups whose unions share fewer tokens than any of their members would need are out.
-3. Groups that are left as pairs are opened for single queries: a query meets the union of a group's tokens first, and its members only where the
-   overlap with the union reaches what similarity asks for. The query is the smaller group's leader; then, where both groups have more members and
-   are not yet in one component, all members of the smaller. Large groups are opened in parts; queries go to each part.
-4. Links run together into components by rounds of least neighbours.
+4. Groups that are left as pairs are opened for single queries: a query meets the union of a group's tokens first, and its members only where the
+   overlap with the union reaches what similarity asks for. The query is the smaller group's leader; then, unless both groups
+   lie in one component, all members of the smaller. Large groups are opened in parts; queries go to each part. A part gives a spanning
+   forest of its links, never more rows than members and queries.
+5. Links run together into components by rounds of least neighbours.
 
 Every link between different sets is found or lies inside a component already; which documents are frequent or grouped only steers the cost.
 
@@ -34,6 +37,10 @@ from odflow.llm import tables, text
 
 SHINGLE = 5
 PERCENT = 80
+#: Similarity with its leader that keeps a set in a group.
+LOOSE = 50
+#: One grouping after the other, by hashes of these salts.
+GROUPINGS = {"grp": 0, "grp2": 11, "grp3": 23}
 CHUNK_BYTES = 8 << 20
 SLICE_BYTES = 1 << 20
 #: A shingle is frequent if parts of the corpus that hold it twice or more count it this often in all.
@@ -102,28 +109,27 @@ def _frequent(own: DataFrame, most: int) -> np.ndarray:
 
 
 def _describe(frequent):
-    """Per document: set size, signature, two group keys, and the share of frequent shingles."""
+    """Per document: set size, signature, group keys, and the share of frequent shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (row_key,), tokens, upto in _chunks(batches, ["row_key"]):
             size = np.diff(upto)
             full = size > 0
             at = upto[:-1][full]
-            marks = [np.zeros(len(row_key), dtype=np.uint64) for _ in range(4)]
+            marks = [np.zeros(len(row_key), dtype=np.uint64) for _ in range(2 + len(GROUPINGS))]
             share = np.zeros(len(row_key))
             if len(at):
                 often = _among(frequent.value, tokens)
-                stirred = text.mix64(tokens)
-                marks[0][full] = np.add.reduceat(stirred, at)
+                marks[0][full] = np.add.reduceat(text.mix64(tokens), at)
                 marks[1][full] = np.bitwise_xor.reduceat(text.mix64(tokens + np.uint64(7)), at)
                 share[full] = np.add.reduceat(often.astype(np.int64), at) / size[full]
                 out = np.repeat(10 * share[full] >= 7, size[full]) & ~often
-                for mark in marks[2:]:
+                for mark, salt in zip(marks[2:], GROUPINGS.values(), strict=True):
+                    stirred = text.mix64(tokens + np.uint64(salt))
                     stirred[out] = np.uint64(0xFFFFFFFFFFFFFFFF)
                     mark[full] = np.minimum.reduceat(stirred, at)
-                    stirred = text.mix64(tokens + np.uint64(11))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(row_key), pa.array(size), *[pa.array(m.view(np.int64)) for m in marks], pa.array(share)], ["row_key", "n", "sum", "mix", "grp", "grp2", "share"]
+                [pa.array(row_key), pa.array(size), *[pa.array(m.view(np.int64)) for m in marks], pa.array(share)], ["row_key", "n", "sum", "mix", *GROUPINGS, "share"]
             )
 
     return run
@@ -246,13 +252,14 @@ def _met(sent: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": ids[a], "b": ids[b], "shared": count, "least": 1 + np.minimum(least[a], least[b]) // 10})
 
 
-def _verify(percent: int, every: bool):
+def _verify(percent: int, loose: int | None):
     """Links of queries with members of the group part they name: the union of tokens first, then the members.
 
-    Without ``every`` a query keeps one link to a part: enough where the group is one component.
+    A part's links are thinned to a spanning forest. With ``loose`` every member of that similarity is given instead, and whether it is a link.
     """
+    least = percent if loose is None else loose
 
-    def one(key: np.ndarray, is_query: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    def one(key: np.ndarray, is_query: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int, bool]]:
         members, queries = np.flatnonzero(is_query == 0), np.flatnonzero(is_query == 1)
         if not len(members) or not len(queries):
             return
@@ -263,16 +270,26 @@ def _verify(percent: int, every: bool):
         tokens, owner = tokens[by], owner[by]
         union, begin = np.unique(tokens, return_index=True)
         end = np.concatenate((begin[1:], [len(tokens)]))
+        tree = np.arange(len(members))  # the same number for members that links of this part tie together
         for q in queries:
             mine = sets[q]
             at = np.minimum(np.searchsorted(union, mine), len(union) - 1)
             at = at[union[at] == mine]
-            if 100 * len(at) < percent * len(mine):
+            if 100 * len(at) < least * len(mine):
                 continue
             both = np.bincount(owner[text.ranges(begin[at], end[at] - begin[at])], minlength=len(members))
-            near = np.flatnonzero((100 * both >= percent * (size + len(mine) - both)) & (key[members] != key[q]))
-            for m in near if every else near[:1]:
-                yield int(key[q]), int(key[members[m]])
+            either = size + len(mine) - both
+            itself = key[members] == key[q]
+            near = np.flatnonzero((100 * both >= least * either) & ~itself)
+            if loose is not None:
+                yield from ((int(key[q]), int(key[members[m]]), bool(100 * both[m] >= percent * either[m])) for m in near)
+                continue
+            trees, first = np.unique(tree[near], return_index=True)
+            own = tree[itself]
+            yield from ((int(key[q]), int(key[members[near[m]]]), True) for t, m in zip(trees, first, strict=True) if t not in own)
+            joined = np.concatenate((trees, own))
+            if len(joined) > 1:
+                tree[np.isin(tree, joined)] = joined[0]
 
     def run(rows: pa.Table) -> pa.Table:
         columns = [rows.column(c).to_numpy() for c in ("grp", "part", "is_query", "row_key")]
@@ -280,13 +297,13 @@ def _verify(percent: int, every: bool):
         grp, part, is_query, key = (c[once] for c in columns)
         rows = rows.take(pa.array(once))
         cuts = np.flatnonzero((grp[1:] != grp[:-1]) | (part[1:] != part[:-1])) + 1
-        links: list[tuple[int, int]] = []
+        links: list[tuple[int, int, bool]] = []
         for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(once)], strict=True):
             parts = [shingle_sets(b.column("text")) for b in text.slices(rows.slice(low, high - low).to_batches(), "text", SLICE_BYTES)]
             sets = [t[u[i] : u[i + 1]] for t, u in parts for i in range(len(u) - 1)]
             links += one(key[low:high], is_query[low:high], sets)
-        a, b = zip(*links, strict=True) if links else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        a, b, link = zip(*links, strict=True) if links else ((), (), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "link": pa.array(link, pa.bool_())})
 
     return run
 
@@ -296,8 +313,8 @@ def _small(frame: DataFrame) -> DataFrame:
     return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
 
 
-def _open(own: DataFrame, members: DataFrame, queries: DataFrame, percent: int, every: bool = False) -> DataFrame:
-    """Links of ``queries`` (``row_key, grp``) with members (``row_key, grp, parts``) of the group they name."""
+def _open(own: DataFrame, members: DataFrame, queries: DataFrame, percent: int, loose: int | None = None) -> DataFrame:
+    """Links ``a, b, link`` of ``queries`` (``row_key, grp``) with members (``row_key, grp, parts``) of the group they name."""
     from odflow.session import write_table
 
     wanted = queries.select("grp").distinct()
@@ -309,7 +326,7 @@ def _open(own: DataFrame, members: DataFrame, queries: DataFrame, percent: int,
     # Many small groups share a bucket; a part of a large one stays whole in its own.
     buckets = F.lit(VERIFY_BUCKETS * tables.width(own.sparkSession))
     dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("grp", "part"), buckets))
-    return write_table(dealt.groupBy("bucket").applyInArrow(_verify(percent, every), "a long, b long"))
+    return write_table(dealt.groupBy("bucket").applyInArrow(_verify(percent, loose), "a long, b long, link boolean"))
 
 
 def _sized(members: DataFrame) -> DataFrame:
@@ -352,22 +369,32 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     own = own.withColumn("row_key", F.xxhash64("doc_id", "text"))
     frequent = spark.sparkContext.broadcast(_frequent(own, MOST_FREQUENT))
-    described = write_table(own.select("row_key", "text").mapInArrow(_describe(frequent), "row_key long, n long, sum long, mix long, grp long, grp2 long, share double"))
+    keys = ", ".join(f"{k} long" for k in GROUPINGS)
+    described = write_table(own.select("row_key", "text").mapInArrow(_describe(frequent), f"row_key long, n long, sum long, mix long, {keys}, share double"))
     ids = own.select("row_key", "doc_id").join(described.distinct(), "row_key")
-    same = ["sum", "mix", "n", "grp"]
-    classes = write_table(ids.where("n > 0").groupBy(*same).agg(F.min("row_key").alias("class"), F.min("doc_id").alias("first_id"), F.first("grp2").alias("grp2"), F.first("share").alias("share")))
+    same, further = ["sum", "mix", "n", "grp"], [k for k in GROUPINGS if k != "grp"]
+    classes = write_table(ids.where("n > 0").groupBy(*same).agg(F.min("row_key").alias("class"), F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in further], F.first("share").alias("share")))
 
-    # First groups, and what links with their leaders; then what is left, and the leaders, once more by the other key.
-    clusters = classes.select(*same, F.col("class").alias("row_key"), "grp2", "share", F.col("class").alias("cluster"))
+    # First groups, and what is like their leaders; then what is left, and the leaders, again by the other keys.
+    clusters = classes.select(*same, F.col("class").alias("row_key"), *further, "share", F.col("class").alias("cluster"))
     stars = None
-    for key in ("grp", "grp2"):
+    for key in GROUPINGS:
         first = _sized(clusters.where("row_key = cluster").select("row_key", F.col(key).alias("grp"), "share"))
         leaders = first.where("rows > 1").select(F.col("leader").alias("row_key"), "grp").distinct()
-        found = _open(own, first, leaders, percent, every=True)
+        found = _open(own, first, leaders, percent, LOOSE)
         stars = found if stars is None else stars.unionByName(found)
         starred = found.select(F.col("a").alias("_to"), F.col("b").alias("cluster")).distinct()
         clusters = write_table(clusters.join(starred, "cluster", "left").withColumn("cluster", F.coalesce("_to", "cluster")).drop("_to"))
 
+    # Members that their leader's links do not reach ask their own group.
+    members = _sized(clusters.select("row_key", F.col("cluster").alias("grp"), "share"))
+    links = stars.where("link").select("a", "b")
+    roots = connected(links)
+    tied = roots.select(F.col("node").alias("row_key"), F.col("root").alias("_own")), roots.select(F.col("node").alias("grp"), F.col("root").alias("_lead"))
+    asking = members.where("row_key <> grp").join(tied[0], "row_key", "left").join(tied[1], "grp", "left")
+    asking = write_table(asking.where(F.coalesce("_own", "row_key") != F.coalesce("_lead", "grp")).select("row_key", "grp"))
+    links = write_table(links.unionByName(_open(own, members, asking, percent).select("a", "b")))
+
     # Rows whose group is not their own: members of a leader's group, and all but one row of equal sets.
     moved = described.distinct().join(clusters.select(*same, "cluster"), same).where("row_key <> cluster").select("row_key", "cluster")
     placed = own.join(_small(write_table(moved)), "row_key", "left").select(F.coalesce("cluster", "row_key").alias("grp"), "text")
@@ -382,21 +409,23 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     pairs = write_table(met.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("least").alias("least")).where("shared >= least").select("a", "b"))
 
     # A group's id is its leader's key, so the smaller group of a pair asks by its id.
-    members = _sized(clusters.select("row_key", F.col("cluster").alias("grp"), "share"))
     rows = members.groupBy("grp").agg(F.first("rows").alias("rows"))
     of = lambda side: rows.select(F.col("grp").alias(side), F.col("rows").alias(f"n_{side}"))
     sides = pairs.join(of("a"), "a").join(of("b"), "b")
     smaller = F.col("n_a") <= F.col("n_b")
     sides = write_table(sides.select(F.when(smaller, F.col("a")).otherwise(F.col("b")).alias("row_key"), F.when(smaller, F.col("b")).otherwise(F.col("a")).alias("grp"), F.least("n_a", "n_b").alias("n_row")))
-    links = write_table(stars.unionByName(_open(own, members, sides.select("row_key", "grp"), percent)))
+    links = write_table(links.unionByName(_open(own, members, sides.select("row_key", "grp"), percent).select("a", "b")))
     roots = connected(links)
 
-    root = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
-    apart = sides.where("n_row > 1").join(root("row_key"), "row_key", "left").join(root("grp"), "grp", "left").where("root_row_key <> root_grp")
+    # Where the two groups are not one component, all members of the smaller ask.
+    root = F.coalesce("root", "row_key")
+    spans = members.join(roots.withColumnRenamed("node", "row_key"), "row_key", "left").groupBy("grp").agg(F.min(root).alias("low"), F.max(root).alias("high"))
+    span = lambda side: spans.select(F.col("grp").alias(side), F.col("low").alias(f"low_{side}"), F.col("high").alias(f"high_{side}"))
+    apart = sides.where("n_row > 1").join(span("row_key"), "row_key").join(span("grp"), "grp").where("least(low_row_key, low_grp) < greatest(high_row_key, high_grp)")
     third = members.select(F.col("row_key").alias("asks"), F.col("grp").alias("row_key")).join(apart.select("row_key", "grp"), "row_key")
     third = write_table(third.select(F.col("asks").alias("row_key"), "grp"))
     if third.take(1):
-        roots = connected(links.unionByName(_open(own, members, third, percent)))
+        roots = connected(links.unionByName(_open(own, members, third, percent).select("a", "b")))
 
     named = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
