@@ -376,11 +376,8 @@ SQL: dict[str, str] = {
     "partitions_round_trip": nation(
         f"SELECT {NATIONS}, o origin, d destination, sum(f) flow, count(*) n FROM lines GROUP BY p, o, d"
     ),
-    "adjacency_round_trip": nation(
-        "SELECT 'nations' study_area, a.zone src, b.zone dst FROM z a JOIN z b "
-        "ON abs(a.x - b.x) <= 10 AND abs(a.y - b.y) <= 10 AND a.zone <> b.zone"
-    ),
-    "mapping_round_trip": nation("SELECT 'nations' study_area, zone \"zone\", grp \"group\" FROM z"),
+    "adjacency_round_trip": fine(f"SELECT 'grid' study_area, a.zone src, b.zone dst FROM z a JOIN z b ON {NEAR}"),
+    "mapping_round_trip": fine("SELECT 'grid' study_area, zone \"zone\", grp \"group\" FROM z"),
     "blocks_round_trip": nation(
         "SELECT 'nations' study_area, f.block fold, b.zone \"zone\", CASE WHEN b.block = f.block THEN 'test' ELSE 'train' END role "
         "FROM nb b, (SELECT DISTINCT block FROM nb) f",

@@ -110,18 +110,24 @@ def _written_json(document: DataFrame) -> str:
     return path
 
 
+def _objects(pairs: DataFrame, zone: str, value: str) -> DataFrame:
+    """Lines of at most 64 zones each, one JSON object ``{zone: value}`` a line."""
+    line = F.floor(F.col(zone).cast("long") / 64)
+    return pairs.groupBy(line.alias("line")).agg(F.map_from_entries(F.collect_list(F.struct(zone, value))).alias("doc")).select(F.to_json("doc"))
+
+
 @query
 def adjacency_round_trip(spark, sf_dir):
-    near = views.queen_edges(views.nation_zones(spark, sf_dir), 10.0).groupBy("src").agg(F.collect_list("dst").alias("near"))
-    lines = near.select(F.to_json(F.create_map("src", "near")))
-    return files.read_adjacency(spark, _written_json(lines), "nations")
+    """Neighbours of the fine zones, written as objects of 64 zones and read back."""
+    near = views.queen_edges(views.fine_zones(spark, sf_dir), 2.0).groupBy("src").agg(F.collect_list("dst").alias("near"))
+    return files.read_adjacency(spark, _written_json(_objects(near, "src", "near")), "grid")
 
 
 @query
 def mapping_round_trip(spark, sf_dir):
-    zones = views.nation_zones(spark, sf_dir)
-    lines = zones.select(F.to_json(F.create_map("zone", "group")))
-    return files.read_mapping(spark, _written_json(lines), "nations")
+    """Groups of the fine zones, written as objects of 64 zones and read back."""
+    zones = views.fine_zones(spark, sf_dir)
+    return files.read_mapping(spark, _written_json(_objects(zones, "zone", "group")), "grid")
 
 
 @query
