@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as registered
@@ -66,6 +67,51 @@ def test_components(docs_of, monkeypatch, frequent):
     assert got == sorted(plain_components(list(enumerate(texts))))
 
 
+def family(seed, n=90, length=100):
+    """Near copies of one base, most at 0.6 to 0.8 of it, and small clusters of texts that link with each other but not with the base."""
+    draw = np.random.default_rng(seed)
+    base = [f"b{i}" for i in range(length)]
+    texts = [" ".join(base)]
+    for k in range(n):
+        words = list(base)
+        for at in draw.choice(length, draw.integers(2, 6), replace=False):
+            words[at] = f"e{seed}_{k}_{at}"
+        texts.append(" ".join(words))
+        if k % 9 == 0:
+            words[int(draw.integers(0, length))] = f"f{k}"
+            texts.append(" ".join(words))
+    return texts
+
+
+def test_family_below_the_threshold(docs_of, monkeypatch):
+    monkeypatch.setattr(jaccard, "PART_ROWS", 16)
+    texts = [*family(5), *family(6)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.components(docs_of(texts)).collect())
+    assert got == sorted(plain_components(list(enumerate(texts))))
+    assert len({c for _, _, c in got}) > 20
+
+
+@pytest.mark.parametrize("loose", [None, 50])
+def test_part_gives_a_spanning_forest(loose):
+    """Members of two families ask their own part: as many links as ties them together, or all that are alike."""
+    texts = [" ".join(f"{side}{i}" for i in range(60)) + f" {side}end{k}" for side in "ab" for k in range(12)]
+    members = [(1, 0, 0, k, t) for k, t in enumerate(texts)]
+    queries = [(1, 0, 1, k, t) for k, t in enumerate(texts)] + [(1, 0, 1, 99, texts[0])]
+    names = ["grp", "part", "is_query", "row_key", "text"]
+    rows = pa.table({n: [row[i] for row in members + queries] for i, n in enumerate(names)})
+    links = jaccard._verify(80, loose)(rows).to_pylist()
+    assert all(r["link"] for r in links)
+    if loose is not None:
+        assert len(links) == 2 * 12 * 11 + 12
+        return
+    assert len(links) == 2 * 11 + 1
+    root = list(range(100))
+    for r in links:
+        old, new = root[r["a"]], root[r["b"]]
+        root = [new if x == old else x for x in root]
+    assert len({root[k] for k in [*range(12), 99]}) == 1 and len({root[k] for k in range(12, 24)}) == 1
+
+
 def test_large_group_of_near_copies(docs_of, monkeypatch):
     monkeypatch.setattr(jaccard, "PART_ROWS", 16)
     draw = np.random.default_rng(3)
@@ -95,7 +141,7 @@ def test_connected(spark):
 
 def test_queries_are_registered():
     names = [n for n in registered.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 14))
     assert registered.queries()["pipeline"] is corpus_pipeline.run
     assert set(registered.oracle_sql()) <= set(registered.queries())
 
