@@ -4,12 +4,15 @@ A word (a run of letters, lower-cased) that the training words hold counts with
 the longest n-grams (with its ends marked) of which the training grams hold any stand in, by the mean of their log frequencies;
 then the next shorter. Documents sum their words and the languages' log shares.
 
-Training: counts over a sample of labelled documents, taken by hashed id and bounded by ``train_rows`` in expectation; of each
-level the ``most`` most frequent entries form the model, a few MB that are broadcast. Everything else reads whole texts of all documents.
+Training: counts over a sample of labelled documents, taken by hashed id and bounded by ``train_rows`` in expectation. The bound is
+dealt to the languages evenly, and what a rare one leaves free goes to the others, so that rare languages are read whole. All words and
+n-grams of the sample form the model, as one row of each language that has them; it is bounded by the sample alone and is broadcast.
+What a language's sample lacks has one frequency in all languages, below that of everything seen, so that a small sample is no
+advantage. Everything else reads whole texts of all documents.
 
 Cases: a null text, or one without any letter, is ``und`` with score 0; a text of letters is always given a language,
-unless nothing could be learned (then ``und``); ties go to the language first in code point order; repeated rows are judged alike; an
-empty table gives no rows. Other columns are ignored.
+unless nothing could be learned (then ``und``); a language without a word in its sample is never given; ties go to the language first in code point order; repeated rows are judged alike; an
+empty table gives no rows; a null ``doc_id`` is not held out. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +28,6 @@ from pyspark.sql import types as T
 from odflow.llm import text
 
 TRAIN_ROWS = 40_000
-MOST_ENTRIES = 100_000
 LONGEST_GRAM = 5
 #: Text that is worked on together: letters, hashes and n-grams take some hundred bytes for each of its bytes.
 SLICE_BYTES = 1 << 20
@@ -79,18 +81,29 @@ def _counted(keys: np.ndarray, langs: np.ndarray, weights: np.ndarray, n_langs:
     return keys[new], langs[new], np.add.reduceat(weights, new) if len(new) else weights
 
 
-def learn(train: DataFrame, train_rows: int = TRAIN_ROWS, most: int = MOST_ENTRIES) -> dict:
-    """Fit on ``text, lang`` of rows with both; ``doc_id`` only spreads the sample."""
-    from odflow.session import write_table
+def _dealt(counts: dict[str, int], rows: int) -> dict[str, float]:
+    """Share of each language's documents to read, so that ``rows`` are read of all: even parts, and what one lacks goes to the others."""
+    shares, left = {}, float(rows)
+    for i, (name, n) in enumerate(sorted(counts.items(), key=lambda item: (item[1], item[0]))):
+        part = min(float(n), left / (len(counts) - i))
+        shares[name], left = part / n, left - part
+    return shares
+
 
+def learn(train: DataFrame, train_rows: int = TRAIN_ROWS) -> dict:
+    """Fit on ``text, lang`` of rows with both; ``doc_id`` only spreads the sample."""
     rows = train.where("lang IS NOT NULL AND text IS NOT NULL")
-    shares = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
-    langs = sorted(shares)
+    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    langs = sorted(counts)
     if not langs:
         return {"langs": [], "levels": [], "share": np.zeros(0)}
-    share = min(1.0, train_rows / sum(shares.values()))
-    bound = int(share * (1 << 31))
-    sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 31)) < bound).select("text", "lang")
+    bounds = train.sparkSession.createDataFrame(
+        [(name, int(share * (1 << 31))) for name, share in _dealt(counts, train_rows).items()], "_lang string, _bound long"
+    )
+    sample = (
+        rows.withColumn("_at", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 31)))
+        .join(F.broadcast(bounds), F.col("lang") == F.col("_lang")).where(F.col("_at") < F.col("_bound")).select("text", "lang")
+    )
     number = {name: i for i, name in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,24 +120,23 @@ def learn(train: DataFrame, train_rows: int = TRAIN_ROWS, most: int = MOST_ENTRI
             for level, k, l, t in levels:  # noqa: E741
                 yield pa.RecordBatch.from_pydict({"level": pa.array(np.full(len(k), level), pa.int32()), "key": pa.array(k.view(np.int64)), "lang_no": pa.array(l, pa.int32()), "n": pa.array(t, pa.int64())})
 
-    counts = write_table(sample.mapInArrow(count, "level int, key long, lang_no int, n long").groupBy("level", "key", "lang_no").agg(F.sum("n").alias("n")))
-    columns = [f"n{i}" for i in range(len(langs))]
-    per_key = counts.groupBy("level", "key").agg(
-        F.sum("n").alias("all"), *[F.sum(F.when(F.col("lang_no") == i, F.col("n")).otherwise(0)).alias(c) for i, c in enumerate(columns)]
-    )
+    found = sample.mapInArrow(count, "level int, key long, lang_no int, n long").groupBy("level", "key", "lang_no").agg(F.sum("n").alias("n")).toArrow()
+    level_no, key, lang_no, n = (found.column(c).to_numpy() for c in ("level", "key", "lang_no", "n"))
     levels = []
     for level in range(LONGEST_GRAM + 1):
-        top = per_key.where(F.col("level") == level).orderBy(F.desc("all"), "key").limit(most).select("key", *columns).toArrow()
-        table = np.stack([top.column(c).to_numpy().astype(np.float64) for c in columns], axis=1)
-        table = np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * max(1, len(top))))
-        key = top.column("key").to_numpy().astype(np.int64).view(np.uint64)
-        order = np.argsort(key)
-        levels.append((key[order], table[order].astype(np.float32)))
-    prior = np.array([shares[x] for x in langs], dtype=float)
-    return {"langs": langs, "levels": levels, "share": np.log(prior / prior.sum())}
-
-
-def _known(level: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mine = np.flatnonzero(level_no == level)
+        mine = mine[np.lexsort((lang_no[mine], key[mine].view(np.uint64)))]
+        keys, first = np.unique(key[mine].view(np.uint64), return_index=True)
+        total = np.bincount(lang_no[mine], weights=n[mine], minlength=len(langs))
+        # How far the log frequency lies above that of what no sample holds: half an occurrence in the largest.
+        above = np.log(n[mine] / total[lang_no[mine]]) - np.log(0.5 / max(1.0, total.max(initial=1.0)))
+        levels.append((keys, np.append(first, len(mine)).astype(np.int64), lang_no[mine].astype(np.int32), above.astype(np.float32)))
+    prior = np.array([counts[x] for x in langs], dtype=float)
+    spoken = np.bincount(levels[0][2], minlength=len(langs)) > 0
+    return {"langs": langs if spoken.any() else [], "levels": levels, "share": np.where(spoken, np.log(prior / prior.sum()), -np.inf)}
+
+
+def _known(level: tuple[np.ndarray, ...], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which keys the level holds, and their places."""
     if not len(level[0]):
         return np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=np.int64)
@@ -132,6 +144,14 @@ def _known(level: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.n
     return level[0][at] == keys, at
 
 
+def _summed(level: tuple[np.ndarray, ...], at: np.ndarray, row: np.ndarray, n_rows: int, n_langs: int) -> np.ndarray:
+    """Per row and language, the sum over the entries at ``at`` of how far they lie above what is unseen."""
+    size = level[1][at + 1] - level[1][at]
+    held = text.ranges(level[1][at], size)
+    place = np.repeat(row, size) * n_langs + level[2][held]
+    return np.bincount(place, weights=level[3][held], minlength=n_rows * n_langs).reshape(n_rows, n_langs)
+
+
 def _judge(model: dict, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language and score of every text, and whether it has a letter."""
     langs, n_rows = model["langs"], len(texts)
@@ -143,18 +163,17 @@ def _judge(model: dict, texts: list[str | None]) -> tuple[list[str], np.ndarray,
     key, first, inverse = np.unique(whole, return_index=True, return_inverse=True)
     value = np.zeros((len(key), len(langs)), dtype=np.float64)
     known, at = _known(model["levels"][0], key)
-    value[known] = model["levels"][0][1][at[known]]
+    value[known] = _summed(model["levels"][0], at[known], np.arange(np.count_nonzero(known)), np.count_nonzero(known), len(langs))
     open_ = np.flatnonzero(~known)
     for n in range(LONGEST_GRAM, 0, -1):
         if not len(open_):
             break
         code, word = _grams(points, starts[first[open_]], ends[first[open_]], n)
         held, at = _known(model["levels"][n], code)
-        word, at = word[held], at[held]
+        word = word[held]
         times = np.bincount(word, minlength=len(open_))
-        for k in range(len(langs)):
-            sums = np.bincount(word, weights=model["levels"][n][1][at, k], minlength=len(open_))
-            value[open_, k] = np.where(times > 0, sums / np.maximum(times, 1), 0.0)
+        sums = _summed(model["levels"][n], at[held], word, len(open_), len(langs))
+        value[open_] = sums / np.maximum(times, 1)[:, None]
         open_ = open_[times == 0]
     total = np.stack([np.bincount(row, weights=value[inverse, k], minlength=n_rows) for k in range(len(langs))], axis=1)
     total = total + model["share"]
@@ -168,7 +187,7 @@ def _judge(model: dict, texts: list[str | None]) -> tuple[list[str], np.ndarray,
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
 def identify(docs: DataFrame, model: dict) -> DataFrame:

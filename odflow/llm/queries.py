@@ -40,7 +40,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document; documents with remainder 2 are held out of the training."""
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
     docs = docs.withColumn("held_out", language.held_out(F.col("doc_id")))
-    model = language.learn(docs.where("NOT coalesce(held_out, false)"))
+    model = language.learn(docs.where("NOT held_out"))
     return language.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 

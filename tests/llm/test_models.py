@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import base64
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -88,6 +90,56 @@ def test_language_held_out(docs_of):
     assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.98
 
 
+def plain_language(train: list[tuple[str, str]], shares: dict[str, int], asked: str) -> dict[str, float]:
+    """Evidence of each language for a text, by dictionaries of words and n-grams."""
+    words_of = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    grams_of = lambda w, n: [f"<{w}>"[i : i + n] for i in range(len(w) + 3 - n)]
+    seen: dict[int, dict[str, Counter]] = {n: {x: Counter() for x in shares} for n in range(6)}
+    for t, lang in train:
+        for w in words_of(t):
+            seen[0][lang][w] += 1
+            for n in range(1, 6):
+                seen[n][lang].update(grams_of(w, n))
+    most = {n: max(sum(c.values()) for c in seen[n].values()) for n in seen}
+
+    def above(n: int, entry: str, lang: str) -> float:
+        times = seen[n][lang][entry]
+        return math.log(times / sum(seen[n][lang].values())) - math.log(0.5 / most[n]) if times else 0.0
+
+    words, every = words_of(asked), sum(shares.values())
+    total = {x: math.log(shares[x] / every) for x in shares}
+    for w in words:
+        for n in (0, 5, 4, 3, 2, 1):
+            held = [e for e in ([w] if n == 0 else grams_of(w, n)) if any(seen[n][x][e] for x in shares)]
+            if held:
+                for x in shares:
+                    total[x] += sum(above(n, e, x) for e in held) / len(held)
+                break
+    odds = {x: math.exp((v - max(total.values())) / math.sqrt(max(1, len(words)))) for x, v in total.items()}
+    return {x: v / sum(odds.values()) for x, v in odds.items()}
+
+
+def test_language_equals_plain_version(docs_of):
+    texts, langs = language_docs(120)
+    asked = [*language_docs(40)[0], "nichtstraße unterwasser", "thinkers handy", "zzz qqq", "x", "être-là 3 the", "waterwater der"]
+    model = language.learn(docs_of(texts, langs=langs))
+    shares = {x: langs.count(x) for x in sorted(WORDS)}
+    for r in language.identify(docs_of(asked), model).collect():
+        plain = plain_language(list(zip(texts, langs, strict=True)), shares, asked[r.doc_id])
+        assert r.lang_pred == max(sorted(plain), key=lambda x: round(plain[x], 9)) and r.score == pytest.approx(max(plain.values()), rel=1e-4)
+
+
+def test_rare_languages_are_read_whole(docs_of):
+    """The bound is dealt to languages: a rare one keeps its documents and its words beside a language a hundred times as large."""
+    common = [f"{a}{b} the of and" for a in "bcdfghjklm" for b in "aeiouxyzwv"] * 20
+    rare = ["kie estas mia domo", "domo estas mia"]
+    docs = docs_of([*common, *rare, "12"], langs=["en"] * len(common) + ["eo", "eo", "xx"])
+    model = language.learn(docs, train_rows=200)
+    assert language._dealt({"en": 2000, "eo": 2, "xx": 1}, 200) == {"xx": 1.0, "eo": 1.0, "en": pytest.approx(197 / 2000)}
+    got = {r.doc_id: r.lang_pred for r in language.identify(docs_of(["mia domo", "the and of", "domojn estas", "unseen thing of it"]), model).collect()}
+    assert got == {0: "eo", 1: "en", 2: "eo", 3: "en"}
+
+
 def test_nothing_to_learn(docs_of):
     model = language.learn(docs_of(["text"], langs=[None]))
     assert [r.lang_pred for r in language.identify(docs_of(["text", None]), model).collect()] == ["und", "und"]
