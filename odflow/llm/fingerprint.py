@@ -16,6 +16,7 @@ text of a single document uses itself as next; documents of a null id come last.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from odflow.llm import tables, text
+from odflow.session import materialise
 
 SAMPLES = 64
 WALKS = 2
@@ -142,30 +144,47 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def bands(prints: DataFrame) -> DataFrame:
-    """``doc_id, fingerprint, band``: one row per band key of a fingerprint, over samples of its own class and the next."""
+    """``doc_id, fingerprint, band``: one row per band key of a fingerprint, over samples of its own class and the next.
+
+    A band beyond the text's end holds no sample and says nothing, so it gives no key.
+    """
     starts = [1 + k * BAND for k in range(2 * SAMPLES // BAND)]
     length_class = F.conv(F.substring("fingerprint", 1, 2), 16, 10).cast("int")
+    samples = [F.substring("fingerprint", 1 + 2 * s, 2 * BAND) for s in starts]
     keys = [
-        F.xxhash64(F.lit(k % (SAMPLES // BAND)), length_class + (1 if k >= SAMPLES // BAND else 0), F.substring("fingerprint", 1 + 2 * s, 2 * BAND))
-        for k, s in enumerate(starts)
+        F.when(held != "00" * BAND, F.xxhash64(F.lit(k % (SAMPLES // BAND)), length_class + (1 if k >= SAMPLES // BAND else 0), held))
+        for k, held in enumerate(samples)
     ]
-    return prints.select("doc_id", "fingerprint", F.explode(F.array_distinct(F.array(*keys))).alias("band"))
+    return prints.select("doc_id", "fingerprint", F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("band"))
 
 
 def near_links(prints: DataFrame, least: float = 0.5) -> DataFrame:
-    """``doc_id, near_id, likeness``: documents linked with the smallest document that they share a band with, if verified.
+    """``doc_id, near_id, likeness``: verified links of documents that share a band, each from the larger id to the smaller.
 
-    Equal fingerprints count once (``near_id`` the smallest id of their class, likeness 1). A band gives a link from each member to
-    its smallest, never all pairs.
+    Equal fingerprints count once (``near_id`` the smallest id of their class, likeness 1). A round takes heads of every band, one of
+    each hashed part of its members, and compares the band's other members with them. Heads then leave the band, and so do members that
+    are like one; those that failed against all heads meet the next round's, of which there are four times as many, until no band
+    holds two. A band of copies ends after one round; only members unlike all others of their band are compared with many.
     """
-    classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"))
-    members = prints.join(classes, "fingerprint").where("doc_id <> first_id").select("doc_id", F.col("first_id").alias("near_id"), F.lit(1.0).alias("likeness"))
-    keyed = bands(classes.select(F.col("first_id").alias("doc_id"), "fingerprint"))
-    heads = keyed.groupBy("band").agg(F.min(F.struct("doc_id", "fingerprint")).alias("head"))
-    met = keyed.join(heads, "band").where(F.col("doc_id") > F.col("head.doc_id"))
-    met = met.select("doc_id", "fingerprint", F.col("head.doc_id").alias("near_id"), F.col("head.fingerprint").alias("near_print")).distinct()
-    checked = met.withColumn("likeness", _likeness_of("fingerprint", "near_print")).where(F.col("likeness") >= least)
-    return members.unionByName(checked.select("doc_id", "near_id", "likeness"))
+    classes = materialise(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")))
+    found = [
+        prints.join(classes, "fingerprint").where("doc_id <> first_id").select("doc_id", F.col("first_id").alias("near_id"), F.lit(1.0).alias("likeness"))
+    ]
+    left, heads_a_band = bands(classes.select(F.col("first_id").alias("doc_id"), "fingerprint")), 1
+    while True:
+        shared = left.groupBy("band").agg(F.count("*").alias("_n")).where("_n > 1")
+        left = materialise(left.join(shared, "band", "left_semi"))
+        if left.isEmpty():
+            break
+        part = F.pmod(F.xxhash64("doc_id", "band", F.lit(heads_a_band)), F.lit(heads_a_band))
+        heads = left.groupBy("band", part.alias("_part")).agg(F.min(F.struct("doc_id", "fingerprint")).alias("head"))
+        heads = materialise(heads.select("band", F.col("head.doc_id").alias("head_id"), F.col("head.fingerprint").alias("head_print")))
+        met = left.join(heads, "band").where("doc_id <> head_id").withColumn("likeness", _likeness_of("fingerprint", "head_print"))
+        met = materialise(met.where(F.col("likeness") >= least).select("band", "doc_id", "head_id", "likeness"))
+        found.append(met.select(F.greatest("doc_id", "head_id").alias("doc_id"), F.least("doc_id", "head_id").alias("near_id"), "likeness"))
+        gone = met.select("band", "doc_id").unionByName(heads.select("band", F.col("head_id").alias("doc_id"))).distinct()
+        left, heads_a_band = left.join(gone, ["band", "doc_id"], "left_anti"), 4 * heads_a_band
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def _likeness_of(left: str, right: str) -> Column:

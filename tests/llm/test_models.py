@@ -273,3 +273,31 @@ def test_fingerprints_follow_edits(docs_of):
     assert near_of(0, 1) > 0.5 > 0.2 > near_of(0, 2)
     links = {(r.doc_id, r.near_id) for r in fingerprint.near_links(prints).collect()}
     assert links == {(1, 0), (3, 0), (5, 4)}
+
+
+def test_near_links_find_links_behind_an_unrelated_head(docs_of):
+    """Recall against brute force, where all documents share an opening, so that bands hold many unlike members; short texts too."""
+    draw = random.Random(12)
+    body = lambda n: "".join(draw.choice("abcdefghij klmnop") for _ in range(n))
+    opening, texts = body(150), ["", None, "ab", "abc"]
+    for _ in range(25):
+        own = opening + body(draw.randint(400, 800))
+        texts.append(own)
+        for _ in range(draw.randint(0, 3)):
+            at = draw.randrange(200, len(own) - 20)
+            texts.append(own[:at] + body(3) + own[at + 5 :])
+    draw.shuffle(texts)
+    prints = fingerprint.fingerprints(docs_of(texts))
+    held = {r.doc_id: np.frombuffer(bytes.fromhex(r.fingerprint), np.uint8)[None] for r in prints.collect()}
+    plain = {(a, b) for a in held for b in held if a > b and fingerprint.likeness(held[a], held[b])[0] >= 0.7}
+    links = {(r.doc_id, r.near_id): r.likeness for r in fingerprint.near_links(prints, 0.7).collect()}
+    assert len(plain) > 40 and set(links) <= plain
+    assert all(v == pytest.approx(fingerprint.likeness(held[a], held[b])[0]) for (a, b), v in links.items())
+    root = {i: i for i in held}
+
+    def top(i: int) -> int:
+        return i if root[i] == i else top(root[i])
+
+    for a, b in links:
+        root[top(a)] = top(b)
+    assert np.mean([top(a) == top(b) for a, b in plain]) >= 0.9
