@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import LINE_T, dense, gravity_field
 from odflow.operators import flows, zones as zone_ops
+from odflow.operators.generators import emission
 
 AREA = ["study_area"]
 
@@ -117,3 +118,23 @@ def test_length_band_keeps_only_its_cells(line):
     assert {(r.origin, r.destination) for r in kept} == {("1", "2"), ("2", "1")}
     bands = {r.band: r.f for r in zone_ops.with_length_band(placed).groupBy("band").agg(F.sum("flow").alias("f")).collect()}
     assert bands == {"0.5-2": 19.0, "2-10": 11.0}
+
+
+def test_row_steps_neither_sort_nor_shuffle_pairs(zones_of):
+    zones = zones_of({"a": (range(20),) * 5, "b": (range(3),) * 5})
+    p = emission.row_softmax(zone_ops.zone_pairs(zones).withColumn("score", -F.col("distance")), AREA)
+    plan = p._jdf.queryExecution().executedPlan().toString()
+    # The origins alone are dealt and sorted, below the join that makes pairs of them.
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
+    assert plan.rindex("BroadcastHashJoin") < plan.index("Exchange hashpartitioning")
+    assert {(r.study_area, r.origin): pytest.approx(1.0) for r in p.select("study_area", "origin").distinct().collect()} == {
+        (r.study_area, r.origin): r.whole for r in p.groupBy("study_area", "origin").agg(F.sum("p").alias("whole")).collect()
+    }
+
+
+def test_dense_matrix_shuffles_its_cells_only(zones_of, cells_of):
+    zones = zones_of({"a": (range(20),) * 5})
+    full = flows.densify(cells_of({("a", "p"): np.eye(20), ("a", "q"): 2 * np.eye(20)}, "study_area string, partition string"), zones, ["study_area", "partition"])
+    plan = full._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Exchange" not in plan[: plan.index("Union")]
+    assert full.count() == 800 and full.agg(F.sum("flow")).first()[0] == 60
