@@ -166,3 +166,23 @@ def test_reveal_masks(spark):
             assert {r.origin for r in shown} == {r.destination for r in shown}
     with pytest.raises(ValueError):
         sampling.reveal_mask(pairs, zones, train, "half")
+
+
+def test_hops_take_several_levels_a_round(spark, monkeypatch):
+    edges = spark.createDataFrame([("a", str(i), str(i + 1)) for i in range(20)], "study_area string, src string, dst string")
+    rounds, plain = [], graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda frame: rounds.append(1) or plain(frame))
+    start = spark.createDataFrame([("a", "7")], "study_area string, zone string")
+    found = graph.hop_distances(plain(graph.undirected(edges)), start).collect()
+    assert sorted((int(r.zone), r.hops) for r in found) == [(i, abs(i - 7)) for i in range(21)]
+    assert len(rounds) <= 6
+
+
+def test_sample_ranks_the_bucket_of_the_cut_only(spark):
+    rows = spark.range(5000).select(F.lit("a").alias("k"), "id")
+    sizes = spark.createDataFrame([("a", 1234)], "k string, size long")
+    plain = {r.id for r in sampling.hash_sample(rows, ["k"], ["id"], sizes, 3).collect()}
+    apart = sampling.hash_sample(rows, ["k"], ["id"], sizes, 3, apart=True)
+    assert "SortMergeJoin" not in apart._jdf.queryExecution().executedPlan().toString()
+    found = [r.id for r in apart.collect()]
+    assert len(found) == 1234 and set(found) == plain
