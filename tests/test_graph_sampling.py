@@ -75,6 +75,13 @@ def test_blocks_cover_all_and_stay_even(spark):
     assert all(roles[f, "test"] == 2 and roles[f, "train"] == 8 for f in range(5))
 
 
+def test_planned_sizes_do_not_grow_with_the_rounds(spark):
+    """Estimates that are multiplied by joins of every round fill the driver on wide graphs."""
+    edges, zones = edges_of(spark, {"path": PATH}), zones_of(spark, {"path": 10})
+    for table in (graph.balanced_blocks(edges, zones, 2), graph.contiguous_merge(edges, zones, realisations=1)):
+        assert int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < 10**20
+
+
 def test_merge_is_contiguous_exact_and_repeatable(spark):
     edges = edges_of(spark, {"grid": GRID, "split": [(0, 1), (2, 3)]})
     zones = zones_of(spark, {"grid": 25, "split": 8})
