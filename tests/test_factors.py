@@ -53,6 +53,24 @@ def test_shares_and_matrix_score_alike(study):
         assert got[key] == pytest.approx(values, abs=1e-9), key
 
 
+def test_weights_known_at_single_pairs_meet_the_cells_alone(study, monkeypatch):
+    """No share is written or joined with the cells; a cell of an unknown zone still counts on the target's side."""
+    targets, zones, pairs = study
+    lost = targets.limit(1).withColumn("destination", F.lit("nowhere"))
+    targets = write_table(targets.unionByName(lost))
+    weights = lambda rows: rows.withColumn("w", F.col("m_d") * gravity.deterrence(F.col("distance"), "power", 1.0))
+    law = condition_g.weighted_law("g", weights, pairs, targets, zones, KEYS, by_fold=False)
+    shares = gravity.gravity_probabilities(pairs, "power", 1.0)
+    want = rows(factors.share_scores(shares, targets, zones, KEYS, KEYS), KEYS)
+    written = []
+    monkeypatch.setattr(condition_g, "write_table", lambda frame, by=(): written.append(frame) or write_table(frame, by))
+    _, once = condition_g.score_laws([law], targets, zones, KEYS)
+    got = rows(once, KEYS)
+    assert not written and len(want) == 4 and set(got) == set(want)
+    for key, values in want.items():
+        assert got[key] == pytest.approx(values, abs=1e-9), key
+
+
 def test_without_places(study):
     targets, zones, pairs = study
     shares = gravity.gravity_probabilities(pairs, "power", 1.0).withColumn("law_model", F.lit("g"))
