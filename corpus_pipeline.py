@@ -2,19 +2,41 @@
 
 Between stages the rows are written as Parquet to the shared folder and read again. Everything works on all rows that the stage before
 kept. Repeated rows stay repeated until the join keeps one of each group. An empty table passes through as one.
+
+Stages set the session's size of Arrow batches to ``text.BATCH_BYTES``, at which tasks cut them anyhow. Spark's own bound (64 MB, 10,000 rows) holds
+that much of every running task outside the heap, in Python too, and a long run does not give it back.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from odflow.llm import bpe, jaccard, language, mixing, pii
+from odflow.llm import bpe, jaccard, language, mixing, pii, text
 from odflow.llm.queries import tokenizer
 from odflow.llm.tables import read, shielded
 from odflow.session import write_table
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def small_batches(stage: Stage) -> Stage:
+    """The setting stays, since the stage's rows are read after it returns; a smaller one is left as it is."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > text.BATCH_BYTES:
+            spark.conf.set(name, str(text.BATCH_BYTES))
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
 
+@small_batches
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects null texts, and texts without letters. ``lang`` becomes the predicted one; without any labelled text it stays as it was."""
     docs, named = shielded(docs, ("doc_id", "text", "lang"))
@@ -23,6 +45,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return named(judged.withColumn("lang", F.col("lang_pred")) if model["langs"] else judged)
 
 
+@small_batches
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of documents linked by a Jaccard similarity of 0.8 or more: that of the smallest id.
 
@@ -36,11 +59,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return named(keyed.join(kept, "_key").dropDuplicates(["_key"]))
 
 
+@small_batches
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by the name of its kind; ``n_chars`` follows."""
     return pii.redact(docs, pii.learn(docs))
 
 
+@small_batches
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix, as documents: one row for each round in which words of a document are taken, with those words alone.
 
@@ -49,6 +74,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
 
+@small_batches
 def byte_pairs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row, and whether they decode to its text: ``doc_id, n_tokens, ids, exact``."""
     coded = bpe.encode(docs, *tokenizer(), decoded=True, keep_text=True)

@@ -42,6 +42,8 @@ LOOSE = 50
 #: One grouping after the other, by hashes of these salts.
 GROUPINGS = {"grp": 0, "grp2": 11, "grp3": 23}
 CHUNK_BYTES = 8 << 20
+#: Text whose prefixes, or sets, a task holds at once; a dozen arrays of its words stand beside it.
+DEAL_BYTES = 2 << 20
 SLICE_BYTES = 1 << 20
 #: A shingle is frequent if parts of the corpus that hold it twice or more count it this often in all.
 FREQUENT = 32
@@ -76,15 +78,16 @@ def shingle_sets(column: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.nda
     return (np.concatenate(sets) if sets else codes), np.concatenate(([0], np.cumsum(lengths)))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+def _chunks(batches: Iterator[pa.RecordBatch], columns: list[str], limit: int = CHUNK_BYTES) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
     """Sets of many rows at a time, with other columns of the rows."""
     held, size = [], 0
     for batch in text.slices(batches, "text", SLICE_BYTES):
         held.append(([batch.column(c).to_numpy(zero_copy_only=False) for c in columns], *shingle_sets(batch.column("text"))))
         size += batch.column("text").nbytes
-        if size > CHUNK_BYTES:
-            yield _glued(held, len(columns))
+        if size > limit:
+            glued = [_glued(held, len(columns))]
             held, size = [], 0
+            yield glued.pop()
     if held:
         yield _glued(held, len(columns))
 
@@ -112,7 +115,7 @@ def _describe(frequent):
     """Per document: set size, signature, group keys, and the share of frequent shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (row_key,), tokens, upto in _chunks(batches, ["row_key"]):
+        for (row_key,), tokens, upto in _chunks(batches, ["row_key"], DEAL_BYTES):
             size = np.diff(upto)
             full = size > 0
             at = upto[:-1][full]
@@ -147,7 +150,7 @@ def _prefixes(frequent, buckets: int, percent: int):
     """The token-group matrix, packed per bucket of tokens: prefixes of sets, rare tokens first, then frequent ones, each by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (group,), tokens, upto in _chunks(batches, ["grp"]):
+        for (group,), tokens, upto in _chunks(batches, ["grp"], DEAL_BYTES):
             size = np.diff(upto)
             need = 1 + size // 10
             length = np.where(size > 0, size - -(-percent * size // 100) + need, 0)

@@ -10,7 +10,7 @@ import pytest
 
 import __spark_entry__ as registered
 import corpus_pipeline
-from odflow.llm import jaccard
+from odflow.llm import jaccard, text
 from odflow.session import write_table
 from tests.llm.conftest import copied_texts
 
@@ -190,3 +190,23 @@ def test_pipeline_of_nothing(spark, docs_of):
     for _, stage in corpus_pipeline.STAGES:
         docs = write_table(stage(spark, docs, "unused"))
         assert docs.count() == 0
+
+
+def test_stages_take_small_batches(spark):
+    """Ten megabytes in one task reach Python in pieces of ``BATCH_BYTES``, through mapped rows and through a group."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(2_000).selectExpr("id AS doc_id", "repeat(concat('word', id, ' '), 700) AS text", "'x' AS lang").coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+
+    before = spark.conf.get(name)
+    try:
+        corpus_pipeline.personal_data(spark, docs.limit(2), "")
+        mapped = [r.n for r in docs.mapInArrow(sizes, "n long").collect()]
+        grouped = docs.groupBy("lang").applyInArrow(lambda rows: pa.table({"n": [b.nbytes for b in rows.to_batches()]}), "n long")
+        for found in (mapped, [r.n for r in grouped.collect()]):
+            assert sum(found) > 10 << 20 and max(found) <= text.BATCH_BYTES + (64 << 10)
+    finally:
+        spark.conf.set(name, before)
