@@ -257,7 +257,7 @@ def stack_reference(
     The reference carries the ``shared`` keys only and is repeated for every target key.
     """
     spread = spread_over(reference.select(*shared, "origin", "destination", "flow"), targets, shared, keys)
-    return align(keys, t=targets, r=spread, rt=transpose(spread))
+    return align(keys, by_origin=True, t=targets, r=spread, rt=transpose(spread))
 
 
 def delta_cpc(
