@@ -193,3 +193,13 @@ def test_sample_ranks_the_bucket_of_the_cut_only(spark):
     assert "SortMergeJoin" not in apart._jdf.queryExecution().executedPlan().toString()
     found = [r.id for r in apart.collect()]
     assert len(found) == 1234 and set(found) == plain
+
+
+def test_draws_are_not_sorted(spark):
+    """The rows of draws come from an origin's boundaries alone; equal ones of tiny flows give the last zone, as sorting them did."""
+    cells = flow_rows(spark, [("0", str(j), 1e5) for j in range(3)] + [("1", "0", 2.0**53), ("1", "1", 0.5), ("1", "2", 2.0**53)])
+    drawn = sampling.weighted_destinations(cells, AREA, most=400_000)
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan
+    found = drawn.groupBy("origin").agg(F.count("*").alias("n"), F.max("draw").alias("last"), F.collect_set("destination").alias("to")).collect()
+    assert all(r.n == r.last for r in found) and {z for r in found for z in r.to} <= {"0", "1", "2"} and all("1" not in r.to for r in found if r.origin == "1")
