@@ -3,8 +3,8 @@
 Between stages the rows are written as Parquet to the shared folder and read again. Everything works on all rows that the stage before
 kept. Repeated rows stay repeated until the join keeps one of each group. An empty table passes through as one.
 
-Stages set the session's size of Arrow batches to ``text.BATCH_BYTES``, at which tasks cut them anyhow. Spark's own bound (64 MB, 10,000 rows) holds
-that much of every running task outside the heap, in Python too, and a long run does not give it back.
+Stages set the session's size of Arrow batches to ``BATCH_BYTES``. Spark's own bound (64 MB, 10,000 rows) holds that much of every running
+task outside the heap, several times over, and in Python too; a long run does not give back what lies outside the heap.
 """
 
 from __future__ import annotations
@@ -15,12 +15,14 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from odflow.llm import bpe, jaccard, language, mixing, pii, text
+from odflow.llm import bpe, jaccard, language, mixing, pii
 from odflow.llm.queries import tokenizer
 from odflow.llm.tables import read, shielded
 from odflow.session import write_table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Bytes of an Arrow batch; a longer text makes a batch of its own.
+BATCH_BYTES = 1 << 20
 
 
 def small_batches(stage: Stage) -> Stage:
@@ -29,8 +31,8 @@ def small_batches(stage: Stage) -> Stage:
 
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        if int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > text.BATCH_BYTES:
-            spark.conf.set(name, str(text.BATCH_BYTES))
+        if int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > BATCH_BYTES:
+            spark.conf.set(name, str(BATCH_BYTES))
         return stage(spark, docs, sf_dir)
 
     return run_stage

@@ -225,6 +225,8 @@ def encode(docs: DataFrame, file: bytes, pattern: str, decoded: bool = False, ke
             if keep_text:
                 columns["text"] = batch.column("text")
             yield pa.RecordBatch.from_pydict(columns)
+        del coder
+        text.give_back()
 
     shape = "doc_id long, ids array<int>" + ", decoded binary" * decoded + ", text string" * keep_text
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, shape)

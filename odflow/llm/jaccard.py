@@ -329,7 +329,7 @@ def _open(own: DataFrame, members: DataFrame, queries: DataFrame, percent: int,
     # Many small groups share a bucket; a part of a large one stays whole in its own.
     buckets = F.lit(VERIFY_BUCKETS * tables.width(own.sparkSession))
     dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("grp", "part"), buckets))
-    return write_table(dealt.groupBy("bucket").applyInArrow(_verify(percent, loose), "a long, b long, link boolean"))
+    return write_table(dealt.groupBy("bucket").applyInArrow(text.tidy(_verify(percent, loose)), "a long, b long, link boolean"))
 
 
 def _sized(members: DataFrame) -> DataFrame:
@@ -404,11 +404,11 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # A first deal finds the tokens that crowd the prefixes; they move to the end of the order, so that the second makes few pairs.
     buckets = tables.width(spark)
     deal = lambda common: placed.mapInArrow(_prefixes(common, buckets, percent), _SHAPE)
-    crowded = deal(frequent).groupBy("bucket").applyInArrow(_crowded, "token long, n long")
+    crowded = deal(frequent).groupBy("bucket").applyInArrow(text.tidy(_crowded), "token long, n long")
     top = crowded.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token").toArrow()
     more = np.union1d(frequent.value, top.column("token").to_numpy().astype(np.int64).view(np.uint64))
     sent = deal(spark.sparkContext.broadcast(more))
-    met = sent.groupBy("bucket").applyInArrow(_meet(percent), "a long, b long, shared long, least long")
+    met = sent.groupBy("bucket").applyInArrow(text.tidy(_meet(percent)), "a long, b long, shared long, least long")
     pairs = write_table(met.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("least").alias("least")).where("shared >= least").select("a", "b"))
 
     # A group's id is its leader's key, so the smaller group of a pair asks by its id.

@@ -5,7 +5,8 @@ All helpers take whole texts. A null text counts as empty. Words are ``[^\\x20\\
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,9 @@ BATCH_BYTES = 4 << 20
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of text since memory was given back.
+_since = 0
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 
@@ -30,7 +34,11 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that the texts of each piece stay under ``limit`` bytes, or are one row."""
+    """Cut batches so that the texts of each piece stay under ``limit`` bytes, or are one row.
+
+    Memory that was freed goes back to the system after every ``BATCH_BYTES`` of text: workers are used again, and else keep the most they ever held.
+    """
+    global _since
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -40,9 +48,31 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = BATCH_BY
             last = int(np.searchsorted(offsets, offsets[first] + limit, side="right")) - 1
             last = min(max(last, first + 1), batch.num_rows)
             yield batch.slice(first, last - first)
+            _since += int(offsets[last] - offsets[first])
+            if _since >= BATCH_BYTES:
+                _since = 0
+                give_back()
             first = last
 
 
+def give_back() -> None:
+    """Hand freed memory to the system: Arrow's, and that between blocks still in use (where the C library can)."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def tidy(judge: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """A function of groups, after each of which memory is given back."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        out = judge(rows)
+        give_back()
+        return out
+
+    return run
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Bijective scrambling of 64-bit values."""
     x = x.astype(np.uint64, copy=True)
@@ -56,7 +86,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) <= n:
-        size = max(n + 1, BATCH_BYTES // 2)
+        size = max(1 << n.bit_length(), BATCH_BYTES // 4)
         for slot, base in ((0, int(_BASE)), (1, pow(int(_BASE), -1, 1 << 64))):
             step = np.full(size, base, dtype=np.uint64)
             step[0] = 1

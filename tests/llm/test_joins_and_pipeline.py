@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -210,3 +211,36 @@ def test_stages_take_small_batches(spark):
             assert sum(found) > 10 << 20 and max(found) <= text.BATCH_BYTES + (64 << 10)
     finally:
         spark.conf.set(name, before)
+
+
+def _held_mb() -> float:
+    return int(re.search(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+
+
+def test_workers_give_memory_back():
+    """Small blocks that outlive a piece pin the heap over what was freed below them."""
+    batch = pa.RecordBatch.from_pydict({"text": ["word " * 700_000]})
+    kept, before = [], _held_mb()
+    for _ in text.slices([batch] * 4, "text"):
+        passing = [np.ones(200) for _ in range(100_000)]
+        kept.append(np.ones(200))
+        del passing
+    assert _held_mb() - before < 60
+
+
+def test_arrow_batches_of_the_pipeline(spark):
+    """Four megabytes in one task come in pieces of a quarter."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(2_000).selectExpr("id AS doc_id", "repeat(concat('word', id, ' '), 250) AS text", "'x' AS lang").coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+
+    before = spark.conf.get(name)
+    try:
+        corpus_pipeline.personal_data(spark, docs.limit(2), "")
+        found = [r.n for r in docs.mapInArrow(sizes, "n long").collect()]
+        assert sum(found) > 4 << 20 and max(found) <= corpus_pipeline.BATCH_BYTES + (64 << 10)
+    finally:
+        spark.conf.set(name, before)
