@@ -49,6 +49,25 @@ def test_many_pair_buckets_still_give_every_pair_once(zones_of, monkeypatch):
     assert pairs.count() == 400 and pairs.distinct().count() == 400
 
 
+def test_pair_tasks_above_the_broadcast_threshold(spark, zones_of, monkeypatch):
+    """A zone list above the session's threshold is broadcast still; where nothing may be, no task holds a fixed share of all pairs."""
+    monkeypatch.setattr(zone_ops, "PAIR_BUCKET", 3)
+    monkeypatch.setattr(zone_ops, "PAIRS_A_TASK", 20)
+    zones, name = zones_of({"a": (range(20),) * 5}), "spark.sql.autoBroadcastJoinThreshold"
+    threshold = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "100")
+        pairs = zone_ops.zone_pairs(zones)
+        assert "_bucket" not in pairs._jdf.queryExecution().optimizedPlan().toString() and pairs.count() == 400
+        spark.conf.set(name, "-1")
+        pairs = zone_ops.zone_pairs(zones)
+        found = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+        assert "_bucket" in pairs._jdf.queryExecution().optimizedPlan().toString()
+        assert sum(found) == 400 == pairs.select("origin", "destination").distinct().count() and max(found) < 200
+    finally:
+        spark.conf.set(name, threshold)
+
+
 def test_distance_without_areas_is_zero_inside(zones_of, cells_of):
     zones = zones_of({"a": ([0, 3], [0, 4], [1, 1], [1, 1], [1, 1])}).drop("area")
     rows = zone_ops.with_distance(cells_of({("a",): np.ones((2, 2))}), zones).collect()
