@@ -6,6 +6,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from conftest import LINE_T, dense, gravity_field
+from odflow.catalog import views
+from odflow.catalog.queries import QUERIES
 from odflow.operators import flows, zones as zone_ops
 from odflow.operators.generators import emission
 
@@ -157,3 +159,14 @@ def test_dense_matrix_shuffles_its_cells_only(zones_of, cells_of):
     plan = full._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2 and "Exchange" not in plan[: plan.index("Union")]
     assert full.count() == 800 and full.agg(F.sum("flow")).first()[0] == 60
+
+
+def test_dissolve_deals_rows_by_their_number(spark, monkeypatch):
+    """No task holds a fixed share of the cells, however many rows there are; small tables stay at the shuffle width."""
+    sf_dir = "/root/testdata/sf0.001"
+    rows = lambda frame: sorted(tuple(r) for r in frame.collect())
+    plain = rows(QUERIES["dissolve"](spark, sf_dir))
+    monkeypatch.setattr(views, "LINES_A_TASK", 100)
+    wide = QUERIES["dissolve"](spark, sf_dir)
+    dealt = [x for x in wide._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(" in x and "origin" in x]
+    assert len(dealt) == 2 and all("REPARTITION_BY_NUM" in x for x in dealt) and rows(wide) == plain
